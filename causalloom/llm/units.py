@@ -1,84 +1,113 @@
-"""Encoding of whole texts by the units between spaces, with a bounded cache of units.
+"""Ids of whole texts by the units between spaces, with bounded caches.
 
-For both vocabularies used here, the ids of a text are the ids of its units in
-order, where a unit is what stands between two spaces (byte-level: with the space
-before it), so long as no unit is empty or begins or ends with white space. A text
-with such a unit is encoded as a whole. Words repeat so much that most units come
-from the cache; the rest go to the tokenizer in batches.
+For both vocabularies used here the ids of a text are the ids of its units in order,
+where a unit is what stands between two spaces (byte-level: with the space before it),
+so long as no unit is empty or begins or ends with white space; a text with such a unit
+is encoded as a whole. Most units come from a cache. A new unit of ASCII and Latin-1
+letters is cut by the tokenizer's own pattern and its pieces go to the tokenizer's BPE
+model; any other unit goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
-import os
 import sys
 from array import array
 
-#: Units kept by one Python worker. Others are encoded again each time they come.
-CACHE_UNITS = 400_000
-#: Longer units are not kept.
-CACHE_UNIT_CHARS = 64
+import regex
+
+#: Units and pieces kept by one Python worker; others are encoded each time they come.
+CACHE_UNITS, CACHE_PIECES, CACHE_CHARS = 600_000, 300_000, 48
+#: The patterns by which the two vocabularies cut text.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Text in which all Unicode versions agree on letters, case and normal form.
+PLAIN = regex.compile(r"[\t\n\r\x21-\x7E¡-ÿ]*").fullmatch
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte -> the letter that stands for it: printable Latin-1 as it is, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+class _Known(dict):
+    """A dict that asks `new` for what it lacks."""
+
+    def __init__(self, new):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, key):
+        return self.new(key)
 
 
 class UnitEncoder:
     """ids(texts) -> for each text the bytes of its ids as little-endian uint32."""
 
-    def __init__(self, tokenizer_json: str, spaced: bool, cache_units: int = CACHE_UNITS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, tokenizer_json: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        #: spaced: a space belongs to the unit after it; else spaces have no ids.
-        self.spaced, self.room, self.cache = spaced, cache_units, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 4096):
-            for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
-                ids = array("I", e.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                out.append(ids.tobytes())
+        self.model = self.tokenizer.model
+        #: spaced: a space belongs to the unit after it; else spaces have no ids and case folds.
+        self.spaced = spaced
+        self.find = regex.compile(BYTE_PATTERN if spaced else WORD_PATTERN).findall
+        self.letters = byte_letters()
+        self.units, self.pieces = _Known(self._unit), _Known(self._piece)
+        self.unit_room, self.piece_room = CACHE_UNITS, CACHE_PIECES
+        self.odd = False
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        out = self._bytes([t.id for t in self.model.tokenize(spelled)])
+        if self.piece_room > 0 and len(piece) <= CACHE_CHARS:
+            self.pieces[piece] = out
+            self.piece_room -= 1
         return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        cache, known = self.cache, {}
-        split = [t.split(" ") for t in texts]
-        new = {u for units in split for u in units[self.spaced :] if u not in cache}
-        #: Units at which the plain concatenation of ids may differ from the whole text's.
-        odd = {u for u in new if not u or u[0].isspace() or u[-1].isspace()} if self.spaced else set()
-        fresh = [u for u in new if u not in odd]
-        for u, b in zip(fresh, self._encode([" " + u for u in fresh] if self.spaced else fresh), strict=True):
-            known[u] = b
-        for u in fresh:
-            if self.room <= 0:
-                break
-            if len(u) <= CACHE_UNIT_CHARS:
-                cache[u] = known.pop(u)
-                self.room -= 1
-        out: list[bytes | None] = []
-        whole: list[int] = []
-        first = [units[0] for units in split] if self.spaced else []
-        heads = dict(zip(first, self._encode(first), strict=True)) if self.spaced else {}
-        get, late = cache.get, known.get
-        for i, units in enumerate(split):
-            if self.spaced:
-                head, *units = units
-                if odd and not odd.isdisjoint(units) or units and head[-1:].isspace():
-                    out.append(None)
-                    whole.append(i)
-                    continue
-                parts = [heads[head]]
-            else:
-                parts = []
-            got = list(map(get, units))
-            if None in got:
-                got = [late(u) if b is None else b for u, b in zip(units, got, strict=True)]
-            out.append(b"".join(parts + got))
-        for i, b in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = b
+    def _unit(self, unit: str) -> bytes:
+        if self.spaced and (not unit or unit[0].isspace() or unit[-1].isspace()):
+            self.odd = True
+            return b""
+        text = " " + unit if self.spaced else unit
+        out = self._plain(text.lower() if not self.spaced else text) if PLAIN(unit) else self._whole(text)
+        if self.unit_room > 0 and len(unit) <= CACHE_CHARS:
+            self.units[unit] = out
+            self.unit_room -= 1
         return out
 
+    def _plain(self, text: str) -> bytes:
+        found = self.find(text)
+        return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def one(self, text: str) -> bytes:
+        units = text.split(" ")
+        if not self.spaced:
+            return b"".join(map(self.units.__getitem__, units))
+        head = units.pop(0)
+        if units and head[-1:].isspace():
+            return self._whole(text)
+        self.odd = False
+        got = b"".join(map(self.units.__getitem__, units))
+        if self.odd:
+            return self._whole(text)
+        return (self._plain(head) if PLAIN(head) else self._whole(head)) + got if head else got
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return list(map(self.one, texts))
+
 
 _encoders: dict[tuple, UnitEncoder] = {}
 
