@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,5 +58,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def visible(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, where they see that folder."""
+    home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in known:
+        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    visible(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,7 +31,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
-class _Known(dict):
+class Known(dict):
     """A dict that asks `new` for what it lacks."""
 
     def __init__(self, new):
@@ -55,7 +55,7 @@ class UnitEncoder:
         self.spaced = spaced
         self.find = regex.compile(BYTE_PATTERN if spaced else WORD_PATTERN).findall
         self.letters = byte_letters()
-        self.units, self.pieces = _Known(self._unit), _Known(self._piece)
+        self.units, self.pieces = Known(self._unit), Known(self._piece)
         self.unit_room, self.piece_room = CACHE_UNITS, CACHE_PIECES
         self.odd = False
 
