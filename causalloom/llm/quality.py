@@ -12,22 +12,25 @@ from .common import let, materialize
 SPACES = r"[ \x09-\x0D]+"
 MIN_WORDS = 50
 
-#: Rules: what is measured, from where on it votes bad, up to where it votes good. Between them it abstains.
-RULES: list[tuple[str, str, float, float]] = [
-    ("symbols", "n_symbols / n_words", 0.10, 0.02),
-    ("capitals", "n_upper / word_chars", 0.40, 0.15),
-    ("shouting", "n_shouts / n_words", 0.20, 0.03),
-    ("bars", "n_bars / n_words", 0.10, 0.02),
-    ("repeated_words", "n_repeat_words / n_words", 0.50, 0.20),
-    ("repeated_lines", "n_dup_lines / n_lines", 0.30, 0.10),
-    ("word_length", "abs(word_chars / n_words - 5.5)", 5.0, 3.0),
-    ("length", "if(n_words < 50, 1, 0) + if(n_words < 100, 1, 0)", 2.0, 0.0),
+#: Rules: name, vote (-1 bad, 1 good), and when it votes; else it abstains.
+RULES: list[tuple[str, int, str]] = [
+    ("symbols", -1, "n_symbols >= 0.10 * n_words"),
+    ("capitals", -1, "n_upper >= 0.40 * word_chars"),
+    ("shouting", -1, "n_shouts >= 0.20 * n_words"),
+    ("bars", -1, "n_bars >= 0.10 * n_words"),
+    ("repeated_words", -1, "n_repeat_words >= 0.45 * n_words"),
+    ("repeated_lines", -1, "n_lines >= 4 AND n_dup_lines >= 0.40 * n_lines"),
+    ("word_length", -1, "word_chars >= 15 * n_words OR word_chars < 2 * n_words"),
+    ("too_short", -1, "n_words < 50"),
+    ("calm", 1, "n_words >= 50 AND n_symbols < 0.05 * n_words AND n_upper < 0.20 * word_chars AND n_shouts < 0.05 * n_words"),
+    ("varied", 1, "n_words >= 200 AND n_symbols < 0.02 * n_words AND n_bars < 0.02 * n_words AND n_repeat_words < 0.20 * n_words"),
 ]
 NAMES = [f"v_{r[0]}" for r in RULES]
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_bars"]
 
-#: The label model: rounds, pseudo-counts that hold each rule to its polarity, and the least posterior that keeps.
-ROUNDS, PRIOR_STRENGTH, KEEP_AT = 30, 0.02, 0.5
+#: The label model: rounds, the accuracy that a rule starts from, how many votes of that accuracy
+#: stand beside its own (as a part of them), and the least posterior that keeps.
+ROUNDS, PRIOR_ACCURACY, PRIOR_PART, KEEP_AT = 30, 0.9, 0.1, 0.5
 
 
 def _only(text: Column, chars: str) -> Column:
@@ -83,62 +86,54 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return split.select(*[F.col(f"`{c}`") for c in docs.columns], measures.alias(HELD))
 
 
-def _votes(rules=RULES) -> list[Column]:
-    """One column a rule: -1 bad, 1 good, 0 abstains."""
-    out = []
-    for name, measure, bad, good in rules:
-        x = F.expr(f"CASE WHEN n_words > 0 THEN cast({measure} AS double) END")
-        out.append(F.when(x >= bad, -1).when(x <= good, 1).otherwise(0).cast("int").alias(f"v_{name}"))
-    return out
+def _votes() -> list[Column]:
+    """One column a rule: its vote, or 0 where it abstains. Texts without words get no vote but too_short."""
+    return [
+        F.when(F.expr(f"({when})" + ("" if name == "too_short" else " AND n_words > 0")), vote).otherwise(0).cast("int").alias(f"v_{name}")
+        for name, vote, when in RULES
+    ]
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Expectation-maximisation over vote patterns and their counts.
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> list[float]:
+    """Each rule's accuracy, by expectation-maximisation over vote patterns and their counts.
 
-    Each rule has a probability of each vote given a good and given a bad document.
-    Pseudo-counts, a fixed part of all documents, say that a rule more often votes bad
-    on bad documents and good on good ones; a document with a bad vote starts as bad.
-    Returns the share of good documents and, per rule, vote -> (P given good, P given bad).
-    The sums run over patterns in sorted order, so equal counts give equal results.
+    The true label is hidden. A rule that votes is right with its accuracy, independently
+    of the others; abstaining says nothing. Good and bad are held equally likely before
+    any vote: most documents are good, and a balance learned from them would let that
+    outvote a rule which alone sees one kind of junk. The sums run over patterns in
+    sorted order, so equal counts give equal results.
     """
     patterns = sorted(patterns)
-    total = float(sum(n for _, n in patterns)) or 1.0
     k = len(patterns[0][0]) if patterns else 0
-    post = [0.05 if -1 in v else 0.95 for v, _ in patterns]
-    share, tables = 0.5, []
-    strength = PRIOR_STRENGTH * total
+    accuracy = [PRIOR_ACCURACY] * k
     for _ in range(rounds):
-        good = sum(n * p for (_, n), p in zip(patterns, post, strict=True))
-        share = (good + strength) / (total + 2 * strength)
-        tables = []
+        post = [posterior(v, accuracy) for v, _ in patterns]
         for j in range(k):
-            g = {-1: 0.01 * strength, 0: 0.2 * strength, 1: 0.79 * strength}
-            b = {-1: 0.5 * strength, 0: 0.2 * strength, 1: 0.3 * strength}
+            votes = right = 0.0
             for (v, n), p in zip(patterns, post, strict=True):
-                g[v[j]] += n * p
-                b[v[j]] += n * (1 - p)
-            gs, bs = sum(g.values()), sum(b.values())
-            tables.append({x: (g[x] / gs, b[x] / bs) for x in (-1, 0, 1)})
-        post = [posterior(v, share, tables) for v, _ in patterns]
-    return share, tables
+                if v[j]:
+                    votes += n
+                    right += n * (p if v[j] > 0 else 1 - p)
+            extra = PRIOR_PART * votes + 1
+            accuracy[j] = (right + PRIOR_ACCURACY * extra) / (votes + extra)
+    return accuracy
 
 
-def posterior(votes: tuple[int, ...], share: float, tables: list[dict[int, tuple[float, float]]]) -> float:
+def posterior(votes: tuple[int, ...], accuracy: list[float]) -> float:
     """Probability that a document with these votes is good."""
-    odds = math.log(share / (1 - share)) + sum(math.log(t[v][0] / t[v][1]) for v, t in zip(votes, tables, strict=True))
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+    return 1 / (1 + math.exp(-sum(v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy, strict=True))))
 
 
-def label_model(measures: DataFrame) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Fit the model to the votes of all rows; at most 3^rules pattern counts reach the driver."""
+def label_model(measures: DataFrame) -> list[float]:
+    """Fit the model to the votes of all rows; at most 2^rules pattern counts reach the driver."""
     counts = measures.select(*_votes()).groupBy(*NAMES).agg(F.count("*").alias("n")).collect()
     return fit([(tuple(int(r[c]) for c in NAMES), r["n"]) for r in counts])
 
 
-def _posterior(share: float, tables: list[dict[int, tuple[float, float]]]) -> Column:
-    odds = F.lit(math.log(share / (1 - share)))
-    for vote, t in zip(_votes(), tables, strict=True):
-        odds = odds + F.element_at(F.array(*[F.lit(math.log(t[v][0] / t[v][1])) for v in (-1, 0, 1)]), vote + 2)
+def _posterior(accuracy: list[float]) -> Column:
+    odds = F.lit(0.0)
+    for vote, a in zip(_votes(), accuracy, strict=True):
+        odds = odds + vote * math.log(a / (1 - a))
     return 1 / (1 + F.exp(-odds))
 
 
@@ -151,7 +146,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Words are runs of other characters than space and \\x09-\\x0D. The base test fails
     under 50 words, or when over half of the words stand in repeated 3-word windows.
-    The rules' votes are counted over all documents by pattern (at most 3^rules rows,
+    The rules' votes are counted over all documents by pattern (at most 2^rules rows,
     whatever the input), the label model is fitted to these counts, and a document is
     kept if it passes the base test and its posterior is KEEP_AT at least.
 
@@ -161,8 +156,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(measured(own).select("doc_id", f"{HELD}.*"), "quality")
-    share, tables = label_model(rows)
-    rows = rows.withColumns({"base_failed": _failed(), "quality": _posterior(share, tables) if tables else F.lit(0.0)})
+    accuracy = label_model(rows)
+    rows = rows.withColumns({"base_failed": _failed(), "quality": _posterior(accuracy) if accuracy else F.lit(0.0)})
     return rows.select(
         "doc_id", *FEATURES[:5], "base_failed", (~F.col("base_failed") & (F.col("quality") >= KEEP_AT)).alias("kept"), "quality", *_votes(),
     )
@@ -176,10 +171,10 @@ def filter_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rows = materialize(measured(docs, text_col), "quality")
     measures = rows.select(f"{HELD}.*")
-    share, tables = label_model(measures)
-    if not tables:
+    accuracy = label_model(measures)
+    if not accuracy:
         return rows.drop(HELD)
-    verdict = ~_failed() & (_posterior(share, tables) >= KEEP_AT)
+    verdict = ~_failed() & (_posterior(accuracy) >= KEEP_AT)
     # Own columns step aside under other names while the measures' names are in use.
     renamed = rows.select(*[F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(docs.columns)], f"{HELD}.*")
     return renamed.where(verdict).select(*[F.col(f"__own_{i}").alias(c) for i, c in enumerate(docs.columns)])
