@@ -1,0 +1,44 @@
+"""Connected components by repeated contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): each node's component, named by a node of it; edges: (a, b) of strings.
+
+    Each round hooks every root to the least root it has an edge to, follows the hooks to
+    their ends, and keeps the edges that still join two roots. Least neighbours come from
+    partial aggregations, so a node with very many edges costs one row a task; a round at
+    least halves the roots of a component. Rounds are written tables: a lost executor
+    costs a round at most.
+    """
+    live = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where(F.col("lo") != F.col("hi")).distinct()
+    live = materialize(live, "edges")
+    roots = None
+    while not live.isEmpty():
+        hook = live.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
+        hook = materialize(hook, "hooks")
+        while True:
+            up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            jumped = hook.join(up, "root", "left")
+            jumped = materialize(jumped.select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "hooks")
+            hook = jumped.select("node", "root")
+            if jumped.where("moved").isEmpty():
+                break
+        if roots is None:
+            ends = live.select(F.col("lo").alias("node")).union(live.select("hi")).distinct()
+            roots = ends.select("node", F.col("node").alias("root"))
+        up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        roots = materialize(roots.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+        lo = hook.select(F.col("node").alias("lo"), F.col("root").alias("lo_root"))
+        hi = hook.select(F.col("node").alias("hi"), F.col("root").alias("hi_root"))
+        moved = live.join(lo, "lo", "left").join(hi, "hi", "left").select(F.coalesce("lo_root", "lo").alias("a"), F.coalesce("hi_root", "hi").alias("b"))
+        live = materialize(moved.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+    if roots is None:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    return roots
