@@ -154,6 +154,8 @@ def granger(effect: np.ndarray, cause: np.ndarray, lags: int) -> tuple[float, fl
     dof = n - 2 * lags - 1
     if dof <= 0:
         raise ValueError("too few points")
+    if np.ptp(effect) == 0 or np.ptp(cause) == 0:
+        raise ValueError("constant series")
     y = effect[lags:]
     own = [effect[lags - i : len(effect) - i] for i in range(1, lags + 1)]
     other = [cause[lags - i : len(cause) - i] for i in range(1, lags + 1)]

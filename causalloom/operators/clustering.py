@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalloom.functions import kernels
+from causalloom.operators.components import components
 
 SCHEMA = "service string, k int, metric string, cluster int, silhouette double, centroid array<double>"
 
@@ -66,21 +67,10 @@ def hand_over(current: DataFrame, previous: DataFrame) -> DataFrame:
     return both.groupBy("service", "cluster", "representative").agg(first.alias("f")).select("service", "cluster", F.coalesce("f.was", "representative").alias("representative"), F.col("f.was").isNotNull().alias("kept"))
 
 
-def name_clusters(pairs: DataFrame, names: DataFrame, distance: float, rounds: int = 12) -> DataFrame:
-    """Single-linkage clusters of names, cut at a distance: components over pairs (a, b, d) with d <= distance.
-
-    Labels spread by least neighbours; every round doubles the reach through the label's
-    own label, so `rounds` covers chains of thousands of names. It stops when stable.
-    """
-    near = pairs.where(F.col("d") <= distance).select("a", "b")
-    both = near.union(near.select("b", "a")).toDF("name", "other")
-    labels = names.select("name", F.col("name").alias("label"))
-    for _ in range(rounds):
-        around = both.join(labels.withColumnsRenamed({"name": "other", "label": "theirs"}), "other").groupBy("name").agg(F.min("theirs").alias("least"))
-        moved = labels.join(around, "name", "left").select("name", F.least("label", F.coalesce("least", "label")).alias("to"))
-        up = moved.select(F.col("name").alias("to"), F.col("to").alias("above"))
-        labels = moved.join(up, "to").select("name", F.col("above").alias("label"))
-    return labels
+def name_clusters(pairs: DataFrame, names: DataFrame, distance: float) -> DataFrame:
+    """Single-linkage clusters of names, cut at a distance: components over pairs (a, b, d) with d <= distance."""
+    roots = components(pairs.where(F.col("d") <= distance).select("a", "b"))
+    return names.join(roots.withColumnsRenamed({"node": "name", "root": "label"}), "name", "left").select("name", F.coalesce("label", "name").alias("label"))
 
 
 def gap_statistic(series: DataFrame, ks: list[int], references: int = 20, seed: int = 7) -> DataFrame:

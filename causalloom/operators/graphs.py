@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from causalloom.functions.runtime import materialize
+
 LAGS = (1, 2, 3, 4, 5)
 # Prefixes of services that talk over the message queue, and its name.
 QUEUE_USERS, QUEUE = ["nova", "neutron", "glance", "swift", "cinder"], "rabbitmq"
@@ -133,10 +132,10 @@ def distinct_arcs(arcs: DataFrame, order: str = "line") -> DataFrame:
 def numeric_nodes(arcs: DataFrame) -> DataFrame:
     """All ids from 0 to the largest one: numbers that no arc names are nodes too."""
     top = arcs.agg(F.max(F.greatest(F.col("src").cast("long"), F.col("dst").cast("long"))).alias("m"))
-    return top.select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).cast("string").alias("node"))
+    return top.select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("node")).select(F.col("node").cast("string"))
 
 
-def pagerank(arcs: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, tolerance: float = 1e-5, most: int = 10000, start: str | None = None, check_every: int = 5, iterations: int | None = None) -> DataFrame:
+def pagerank(arcs: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, tolerance: float = 1e-5, most: int = 10000, start: str | None = None, iterations: int | None = None) -> DataFrame:
     """(node, rank, iterations): weighted PageRank; weights are used as given and stand for 1 / out-degree.
 
     r_i = alpha (sum over arcs w r_from + dangling / n) + (1 - alpha) / n, from all rank on
@@ -145,28 +144,17 @@ def pagerank(arcs: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.8
     arc are dangling. iterations fixes the number of rounds instead.
 
     Arcs are dealt by source once and kept; a round joins ranks to them, sums by target in
-    a partial aggregation, and takes sums over all nodes as one row. Ranks are written to
-    the shared folder every check_every rounds, so lineage stays short and survives a lost
-    executor; convergence is read from the same row that holds the sums.
+    a partial aggregation, and takes sums over all nodes as one row. Each round's ranks are
+    written to the shared folder, so a lost executor costs a round at most.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be over 0 and at most 1")
-    spark = arcs.sparkSession
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="pagerank-")
-    base = f"{where.rstrip('/')}/pagerank-{uuid.uuid4().hex[:12]}"
     arcs = distinct_arcs(arcs) if "line" in arcs.columns else arcs.select("src", "dst", "w")
     ends = arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct() if nodes is None else nodes.select("node")
     out = arcs.select(F.col("src").alias("node")).distinct().withColumn("has_out", F.lit(True))
     first = F.lit(start) if start is not None else F.lit(ends.agg(F.min("node")).first()[0])
     state = ends.join(out, "node", "left").select("node", F.coalesce("has_out", F.lit(False)).alias("has_out"), F.when(F.col("node") == first, 1.0).otherwise(0.0).alias("rank"))
-
-    def written(df: DataFrame, i: int) -> DataFrame:
-        df.write.parquet(f"{base}/{i}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{i}")
-
-    arcs.write.parquet(f"{base}/arcs")
-    arcs = spark.read.schema(arcs.schema).parquet(f"{base}/arcs")
-    state = written(state, 0)
+    arcs, state = materialize(arcs, "arcs"), materialize(state, "ranks")
     n = state.count()
     if not n:
         return state.select("node", "rank", F.lit(0).alias("iterations"))
@@ -181,7 +169,7 @@ def pagerank(arcs: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.8
         rank = alpha * F.coalesce("g", F.lit(0.0)) + F.lit(alpha * dangling / n + (1 - alpha) / n)
         state = prev.join(got, "node", "left").select("node", "has_out", rank.alias("rank"), "prev")
         i += 1
-        state = written(state, i)
+        state = materialize(state, "ranks")
         done = i
         if iterations is None:
             change = state.agg(F.sum(F.abs(F.col("rank") - F.col("prev")))).first()[0]

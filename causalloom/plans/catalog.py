@@ -219,7 +219,7 @@ def name_similarity(spark, d):
 @query("WITH RECURSIVE n AS (SELECT DISTINCT p_type AS name FROM part), e AS (SELECT x.name AS a, y.name AS b FROM n x, n y WHERE x.name <> y.name AND 1 - jaro_similarity(x.name, y.name) <= 0.25), c AS (SELECT name, name AS label FROM n UNION SELECT e.b, c.label FROM c JOIN e ON c.name = e.a) SELECT name, min(label) AS label FROM c GROUP BY name")
 def name_clusters(spark, d):
     n, p = name_pairs(spark, d)
-    return clustering.name_clusters(p.select("a", "b", (1 - F.col("sim")).alias("d")), n, 0.25, rounds=4)
+    return clustering.name_clusters(p.select("a", "b", (1 - F.col("sim")).alias("d")), n, 0.25)
 
 
 # --- distances ------------------------------------------------------------------
@@ -457,7 +457,7 @@ def pagerank_trade(spark, d):
 # --- versions -----------------------------------------------------------------------
 
 CL = """WITH m AS (SELECT DISTINCT CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'nf' ELSE 'f' END AS version, event_type AS service, (user_id % 24)::INT AS u FROM events),
-x AS (SELECT version, service, 'm' || u AS metric, CASE WHEN version = 'nf' THEN u % 4 ELSE (u * 5 // 3) % 4 END::INT AS cluster FROM m WHERE NOT (version = 'f' AND u IN (3, 7, 11)) AND NOT (version = 'nf' AND u IN (5, 13))),
+x AS (SELECT version, service, 'm' || u AS metric, CASE WHEN version = 'nf' THEN u % 4 ELSE (u + u // 16) % 4 END::INT AS cluster FROM m WHERE NOT (version = 'f' AND u IN (3, 7, 11)) AND NOT (version = 'nf' AND u IN (5, 13))),
 cl AS (SELECT version, service, cluster, min(metric) AS representative, list(metric ORDER BY metric) AS metrics FROM x GROUP BY ALL)"""
 
 
@@ -465,7 +465,7 @@ def clusters(spark, d):
     e = _t(spark, d, "events")
     m = e.select(F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "nf").otherwise("f").alias("version"), F.col("event_type").alias("service"), (F.col("user_id") % 24).cast("int").alias("u")).distinct()
     x = m.where(~((F.col("version") == "f") & F.col("u").isin(3, 7, 11)) & ~((F.col("version") == "nf") & F.col("u").isin(5, 13)))
-    c = F.when(F.col("version") == "nf", F.col("u") % 4).otherwise(F.floor(F.col("u") * 5 / 3) % 4).cast("int")
+    c = F.when(F.col("version") == "nf", F.col("u") % 4).otherwise((F.col("u") + F.floor(F.col("u") / 16)) % 4).cast("int")
     x = x.select("version", "service", F.concat(F.lit("m"), "u").alias("metric"), c.alias("cluster"))
     return x.groupBy("version", "service", "cluster").agg(F.min("metric").alias("representative"), F.array_sort(F.collect_list("metric")).alias("metrics"))
 
@@ -566,8 +566,8 @@ def edge_diff_dot(spark, d):
 
 
 @query(FILLED + """, m AS (SELECT service, metric, count(value)::DOUBLE AS n, avg(value) AS mu FROM f GROUP BY ALL), c AS (SELECT service, metric, n, avg((value - mu) ** 2) AS m2, avg((value - mu) ** 3) AS m3, avg((value - mu) ** 4) AS m4 FROM f JOIN m USING (service, metric) GROUP BY ALL),
-g AS (SELECT *, m3 / m2 ** 1.5 AS g1, m4 / m2 ** 2 AS b2 FROM c),
-a1 AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta, (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS rt FROM g),
+mo AS (SELECT *, m3 / m2 ** 1.5 AS g1, m4 / m2 ** 2 AS b2 FROM c),
+a1 AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta, (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS rt FROM mo),
 a2 AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / rt * (2 / rt + sqrt(1 + 4 / (rt * rt))) AS a FROM a1),
 a3 AS (SELECT *, 1 / sqrt(0.5 * ln(w2)) AS de, sqrt(2 / (w2 - 1)) AS al, (1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))) AS pa FROM a2),
 a4 AS (SELECT *, de * ln(y / al + sqrt((y / al) ** 2 + 1)) AS z1, (1 - 2 / (9 * a) - sign(pa) * abs(pa) ** (1.0 / 3)) / sqrt(2 / (9 * a)) AS z2 FROM a3)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-METADATA = T.StructType.fromDDL(
+METADATA = (
     "start string, end string, measurement_name string, metrics_export string, services array<struct<name string, filename string, tags array<string>, fields array<string>, "
     "preprocessed_filename string, preprocessed_fields array<string>, pref_cluster int>>"
 )
