@@ -1,56 +1,13 @@
-"""Shared helpers: the cluster's shared folder, lineage cuts, expression helpers."""
+"""Shared helpers of the operators: input tables, lineage cuts, expressions."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_roots: dict[str, str] = {}
-
-
-def _forget(spark: SparkSession, root: str) -> None:
-    try:
-        jvm, jsc = spark._jvm, spark._jsc
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session is already gone; the folder's owner cleans it up
-        pass
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that the driver and all executors see.
+from causalloom.functions.runtime import materialize, shared_dir, visible
 
-    It lies in the folder that the session names in spark.checkpoint.dir. Only a
-    local-mode session may leave that unset; it then gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    root = _roots.get(sc.applicationId)
-    if root is None:
-        base = sc.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="causalloom-")
-        root = _roots[sc.applicationId] = f"{base.rstrip('/')}/causalloom-{sc.applicationId}"
-        atexit.register(_forget, spark, root)
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back.
-
-    Unlike cached blocks, the written table outlives any executor.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["let", "materialize", "shared_dir", "table"]
 
 
 def let(value: Column, body) -> Column:
@@ -58,14 +15,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def visible(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, where they see that folder."""
-    home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "").split(os.pathsep)
-    if home not in known:
-        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     visible(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,17 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causalloom.operators.components import components
+
 from .common import materialize
-from .components import components
-from .shingles import ConsistentSampler, Idf, WordHash, counted, similarity
+from .shingles import Block, ConsistentSampler, Idf, WordHash, counted, similarity
 
 THRESHOLD, BANDS, ROWS = 0.8, 15, 3
 #: A shingle in more than this part of all documents counts less than 1, down to IDF_FLOOR.
 IDF_RARE, IDF_FLOOR = 1 / 256, 0.8
 #: Documents counted at a time for the frequencies, and the least part of them that a frequent shingle has there.
 COUNT_DOCS, COUNT_PART = 4096, 1 / 1024
-#: Members of a bucket that the others are compared with, per round.
+#: Members of a bucket that the others are compared with.
 LEADERS = 4
+#: Texts of a block whose members are compared all with all.
+BLOCK = 256
 
 _hashes: list[WordHash] = []
 
@@ -31,6 +34,12 @@ def _word_hash() -> WordHash:
     return _hashes[0]
 
 
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[str]:
+    """A column's texts, few of them as Python objects at a time."""
+    for lo in range(0, batch.num_rows, 256):
+        yield from batch.column(column).slice(lo, 256).to_pylist()
+
+
 def frequent_shingles(texts: DataFrame, rare: float = IDF_RARE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles in over `rare` of all documents, and the parts they are in.
 
@@ -40,31 +49,28 @@ def frequent_shingles(texts: DataFrame, rare: float = IDF_RARE) -> tuple[np.ndar
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, docs, total = _word_hash(), [], 0, 0
+        words, held, docs = _word_hash(), [], 0
 
         def block() -> pa.RecordBatch:
             h, n = counted(np.concatenate(held)) if held else (np.empty(0, np.uint64), np.empty(0))
             keep = n >= max(2, COUNT_PART * docs)
-            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64)), pa.array(np.zeros(int(keep.sum()), bool))], ["h", "n", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(counted(words.shingles(text or ""))[0])
+            for text in _texts(batch, 0):
+                held.append(counted(words.shingles(text))[0])
                 docs += 1
-                total += 1
                 if docs == COUNT_DOCS:
                     yield block()
                     held.clear()
                     docs = 0
         yield block()
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total], pa.int64()), pa.array([True])], ["h", "n", "docs"])
 
-    sums = texts.mapInArrow(run, "h long, n long, docs boolean").groupBy("h", "docs").agg(F.sum("n").alias("n"))
-    sums = materialize(sums, "shingle-counts")
-    total = sums.where("docs").agg(F.sum("n")).first()[0] or 0
-    rows = sums.where(~F.col("docs") & (F.col("n") > rare * total)).select("h", "n").toArrow() if total else None
-    if rows is None or not rows.num_rows:
+    total = texts.count()
+    if not total:
         return np.empty(0, np.uint64), np.empty(0)
+    sums = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = sums.where(F.col("n") > rare * total).toArrow()
     return rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy() / total
 
 
@@ -74,18 +80,17 @@ def _signatures(rows: DataFrame, idf, bands: int, rows_: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weigh, sampler = _word_hash(), Idf(*idf.value, IDF_RARE, IDF_FLOOR), ConsistentSampler(bands, rows_)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hs, ws, sizes, size = [], [], [], 0
-                hi = lo
-                while hi < len(texts) and size < 60_000:
-                    h, tf = counted(words.shingles(texts[hi] or ""))
-                    hs.append(h)
-                    ws.append(weigh.weights(h, tf))
-                    sizes.append(len(h))
-                    size += len(h)
-                    hi += 1
+            lo, hi = 0, 0
+            hs, ws, sizes, size = [], [], [], 0
+            for text in _texts(batch, 2):
+                h, tf = counted(words.shingles(text))
+                hs.append(h)
+                ws.append(weigh.weights(h, tf))
+                sizes.append(len(h))
+                size += len(h)
+                hi += 1
+                if size < 60_000 and hi < batch.num_rows:
+                    continue
                 n = np.array(sizes)
                 some = np.flatnonzero(n)
                 out: list = [None] * len(sizes)
@@ -95,14 +100,15 @@ def _signatures(rows: DataFrame, idf, bands: int, rows_: int) -> DataFrame:
                         out[i] = b
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(out, pa.list_(pa.int64()))], ["id", "th", "bands"])
                 lo = hi
+                hs, ws, sizes, size = [], [], [], 0
 
     return rows.mapInArrow(run, "id long, th string, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (a, b) of text hashes whose texts are similar enough, by the whole texts."""
-    left = texts.select(F.col("th").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("th").alias("b"), F.col("text").alias("text_b"))
+    """The pairs (a, b) of nodes whose texts are similar enough, by the whole texts."""
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weigh = _word_hash(), Idf(*idf.value, IDF_RARE, IDF_FLOOR)
@@ -112,84 +118,135 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
             return h, weigh.weights(h, tf)
 
         for batch in batches:
-            last, set_b = None, None
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            last, set_b, keep = None, None, []
+            for a, b in zip(_texts(batch, 2), _texts(batch, 3), strict=True):
                 if b != last:
                     last, set_b = b, weighted(b)
                 keep.append(similarity(weighted(a), set_b) >= threshold)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return materialize(joined.mapInArrow(run, "a string, b string"), "links")
+    return materialize(joined.mapInArrow(run, "a long, b long"), "links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(documents: id, th, text-less), (roots: th, root) of near-duplicate classes over distinct texts.
+    """(documents: id, th) and (texts: th, node, id, n, root), one row per distinct text, root naming its class.
 
     1. Shingle frequencies over all documents give the IDF (frequent_shingles).
     2. Each document's weighted shingles are sampled; BANDS bands of ROWS samples. Exact
-       copies collapse by md5, so a text has one row from here on.
+       copies collapse by md5 (th) into a node, so a text has one row from here on.
     3. Per band, texts with equal samples form a bucket. Each bucket names LEADERS members,
-       drawn by hashes that differ from band to band, as minima in a partial aggregation;
-       every other member pairs with them: rows grow with members, not with pairs.
-    4. Pairs are verified on whole texts: first each text with the leader it meets most,
-       then, among all pairs, those that still lie in two components.
-    5. Members of a bucket that joined none of its leaders form the bucket again without
-       them, until no bucket has two such members: no bucket is capped.
+       drawn by hashes that differ from bucket to bucket, as minima in a partial
+       aggregation; every other member pairs with them: rows grow with members, not pairs.
+    4. Each text is verified, whole, with the leader that it meets most; links form
+       components. Buckets that still hold two components or more are compared exactly in
+       blocks (_mixed), and members of large buckets that joined no leader there are
+       compared with each other over all blocks (_rest): no bucket is capped.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("th"), text.alias("text"))
     idf = spark.sparkContext.broadcast(frequent_shingles(rows.select("text")))
     signed = materialize(_signatures(rows, idf, BANDS, ROWS), "signatures")
-    nodes = signed.groupBy("th").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    keyed = nodes.where(F.col("bands").isNotNull()).select("th", F.posexplode("bands")).select("th", F.xxhash64("pos", "col").alias("bucket"))
-    crowded = materialize(keyed, "buckets")
-    member = crowded.join(crowded.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("bucket"), "bucket")
-    member = materialize(member, "members")
-    wanted = member.select("th").distinct()
-    first = nodes.select("th", "id").join(wanted, "th")
-    kept = rows.join(first.select("th", F.col("id").alias("first")), "th").where(F.col("id").eqNullSafe(F.col("first")))
-    texts = materialize(kept.select("th", "text").dropDuplicates(["th"]), "texts")
-    links, roots, step = None, None, 0
-    while not member.isEmpty():
-        draws = [F.min(F.struct(F.xxhash64("th", "bucket", F.lit(step * LEADERS + i)), F.col("th"))).alias(f"l{i}") for i in range(LEADERS)]
-        lead = member.groupBy("bucket").agg(F.count("*").alias("n"), *draws).where(F.col("n") > 1)
-        lead = lead.select("bucket", F.array_distinct(F.array(*[F.col(f"l{i}.th") for i in range(LEADERS)])).alias("leaders"))
-        met = materialize(member.join(lead, "bucket"), "met")
-        pairs = met.select("th", F.explode("leaders").alias("leader")).where(F.col("th") != F.col("leader"))
-        pairs = pairs.groupBy(F.least("th", "leader").alias("a"), F.greatest("th", "leader").alias("b")).agg(F.count("*").alias("n"))
-        pairs = materialize(pairs, "pairs")
-        if roots is None:
-            best = pairs.select(F.col("a").alias("th"), "a", "b", "n").union(pairs.select(F.col("b"), "a", "b", "n"))
-            best = best.groupBy("th").agg(F.max(F.struct("n", "b", "a")).alias("x")).select("x.a", "x.b").distinct()
-            links = _verified(best, texts, idf, threshold)
+    nodes = signed.groupBy("th").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    member = nodes.where(F.col("bands").isNotNull()).select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("bucket"))
+    draws = [F.min(F.struct(F.xxhash64("node", "bucket", F.lit(i)), F.col("node"))).alias(f"l{i}") for i in range(LEADERS)]
+    lead = member.groupBy("bucket").agg(F.count("*").alias("n"), *draws).where(F.col("n") > 1)
+    lead = lead.select("bucket", F.array_distinct(F.array(*[F.col(f"l{i}.node") for i in range(LEADERS)])).alias("leaders"), "n")
+    lead = materialize(lead, "leaders")
+    met = materialize(member.join(lead, "bucket").select("bucket", "node", "leaders"), "met")
+    pairs = met.select("node", F.explode("leaders").alias("leader")).where(F.col("node") != F.col("leader"))
+    pairs = pairs.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.count("*").alias("n"))
+    pairs = materialize(pairs, "pairs")
+    wanted = nodes.join(met.select("node").distinct(), "node").select("th", "node", F.col("id").alias("first"))
+    texts = rows.join(wanted, "th").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "text").dropDuplicates(["node"])
+    texts = materialize(texts, "texts")
+    best = pairs.select(F.col("a").alias("node"), "a", "b", "n").union(pairs.select("b", "a", "b", "n"))
+    best = best.groupBy("node").agg(F.max(F.struct("n", "b", "a")).alias("x")).select("x.a", "x.b").distinct()
+    links = _verified(best, texts, idf, threshold)
+    roots = components(links)
+    for tasks in (_mixed, _rest):
+        more = _compared(tasks(met, lead, roots), texts, roots, idf, threshold)
+        if not more.isEmpty():
+            links = links.union(more)
             roots = components(links)
-        left = _apart(pairs.select("a", "b"), roots)
-        if not left.isEmpty():
-            links = materialize(links.union(_verified(left, texts, idf, threshold)), "links")
-            roots = components(links)
-        # Who joined no leader of a bucket, and was none itself, meets the others of its kind there.
-        root = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
-        mine = roots.select(F.col("node").alias("th"), F.col("root").alias("mine"))
-        seen = met.select("bucket", "th", F.explode("leaders").alias("leader")).join(root, "leader", "left").join(mine, "th", "left")
-        joined = (F.col("th") == F.col("leader")) | F.coalesce(F.col("mine") == F.col("leader_root"), F.lit(False))
-        member = materialize(seen.groupBy("bucket", "th").agg(F.max(joined).alias("done")).where(~F.col("done")).select("th", "bucket"), "members")
-        lone = member.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("bucket")
-        member = materialize(member.join(lone, "bucket").select("bucket", "th"), "members")
-        step += 1
-    if roots is None:
-        roots = signed.select(F.col("th").alias("node"), F.col("th").alias("root")).limit(0)
-    return signed, roots.select(F.col("node").alias("th"), "root")
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in two components."""
-    a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return materialize(both.where(F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))).select("a", "b"), "apart")
+    named = nodes.select("th", "node", "id", "n").join(roots, "node", "left")
+    return signed.select("id", "th"), materialize(named.select("th", "node", "id", "n", F.coalesce("root", "node").alias("root")), "classes")
+
+
+def _mixed(met: DataFrame, lead: DataFrame, roots: DataFrame) -> DataFrame:
+    """Tasks for buckets whose members lie in two components or more: (task, node, left, right).
+
+    Members are dealt by a hash to blocks of about BLOCK; a task compares all members of a
+    block with each other and, where a bucket has several blocks, with the leaders. So
+    buckets of one block, nearly all, are compared exactly.
+    """
+    rooted = met.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    sizes = rooted.groupBy("bucket").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
+    sizes = sizes.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    own = met.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", F.lit(True).alias("left"))
+    heads = lead.join(sizes.where(F.col("blocks") > 1), "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "leaders")
+    heads = heads.select("bucket", "block", F.explode("leaders").alias("node"), F.lit(False).alias("left"))
+    return own.unionByName(heads).select(F.xxhash64("bucket", "block").alias("task"), "node", "left", F.lit(True).alias("right"))
+
+
+def _rest(met: DataFrame, lead: DataFrame, roots: DataFrame) -> DataFrame:
+    """Tasks for members of large buckets that joined none of the leaders: every two of their blocks meet.
+
+    A bucket of m such members costs m / BLOCK copies of each text.
+    """
+    large = lead.where(F.col("n") > BLOCK).select("bucket", "leaders")
+    led = large.select("bucket", F.explode("leaders").alias("node")).join(roots, "node", "left")
+    led = led.groupBy("bucket").agg(F.collect_set("root").alias("roots"), F.collect_set("node").alias("heads"))  # LEADERS entries at most
+    mine = met.join(led, "bucket").join(roots, "node", "left")
+    joined = F.coalesce(F.array_contains("roots", F.col("root")), F.lit(False)) | F.array_contains("heads", F.col("node"))
+    alone = materialize(mine.where(~joined).select("bucket", "node"), "alone")
+    sizes = alone.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = alone.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.select("bucket", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    task = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task")
+    return dealt.select(task, "node", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
+
+
+def _compared(tasks: DataFrame, texts: DataFrame, roots: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) found by comparing, in each task, all left nodes with all right ones.
+
+    A task holds some 2 * BLOCK texts at most. One text is compared with a whole side at
+    once through that side's sorted shingles. Links inside a component are not looked for,
+    and of the others a spanning forest is returned: rows never grow with pairs.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        words, weigh = _word_hash(), Idf(*idf.value, IDF_RARE, IDF_FLOOR)
+        node, root, parent = table["node"].to_pylist(), table["root"].to_pylist(), {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        sets = []
+        for chunk in table["text"].chunks:
+            for lo in range(0, len(chunk), 256):
+                for text in chunk.slice(lo, 256).to_pylist():
+                    h, tf = counted(words.shingles(text))
+                    sets.append((h, weigh.weights(h, tf)))
+        first = [i for i, x in enumerate(table["left"].to_pylist()) if x]
+        second = [i for i, x in enumerate(table["right"].to_pylist()) if x]
+        out: list[tuple[int, int]] = []
+        if first and second:
+            against = Block([sets[j] for j in second])
+            for i in first:
+                for j in np.flatnonzero(against.similarities(*sets[i]) >= threshold):
+                    a, b = find(root[i]), find(root[second[j]])
+                    if a != b:
+                        parent[a] = b
+                        out.append((min(node[i], node[second[j]]), max(node[i], node[second[j]])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    held = tasks.join(roots, "node", "left").join(texts, "node").select("task", "node", F.coalesce("root", "node").alias("root"), "left", "right", "text")
+    return materialize(held.groupBy("task").applyInArrow(run, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -205,10 +262,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class has none, and then represent it. Other columns are ignored. An empty table gives
     no rows.
     """
-    signed, roots = classes(docs, id_col, text_col, threshold)
-    rows = signed.select("id", "th").join(roots, "th", "left").select("id", "th", F.coalesce("root", "th").alias("root"))
-    each = rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_docs"))
-    return rows.join(each, "root").select(
+    signed, texts = classes(docs, id_col, text_col, threshold)
+    each = texts.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_docs"))
+    named = texts.select("th", "root").join(each, "root").select("th", "class_id", "class_docs")
+    return signed.join(named, "th").select(
         F.col("id").alias("doc_id"), "class_id", "class_docs", F.col("id").eqNullSafe(F.col("class_id")).alias("is_representative"),
     )
 
@@ -220,10 +277,9 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of repeated rows, one.
     """
     names = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
-    signed, roots = classes(docs, id_col, text_col, threshold)
-    rows = signed.select("id", "th").join(roots, "th", "left").select("id", "th", F.coalesce("root", "th").alias("root"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("x")).select(F.col("x.id").alias("__keep_id"), F.col("x.th").alias("__keep_th"))
-    times = rows.groupBy(F.col("id").alias("__keep_id"), F.col("th").alias("__keep_th")).agg(F.count("*").alias("__keep_n"))
+    signed, texts = classes(docs, id_col, text_col, threshold)
+    best = texts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("x")).select(F.col("x.id").alias("__keep_id"), F.col("x.th").alias("__keep_th"))
+    times = signed.groupBy(F.col("id").alias("__keep_id"), F.col("th").alias("__keep_th")).agg(F.count("*").alias("__keep_n"))
     same = F.col("b.__keep_id").eqNullSafe(F.col("t.__keep_id")) & (F.col("b.__keep_th") == F.col("t.__keep_th"))
     best = best.alias("b").join(times.alias("t"), same).select("b.__keep_id", "b.__keep_th", "__keep_n")
     best = materialize(best, "representatives")

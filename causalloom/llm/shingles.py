@@ -12,7 +12,7 @@ WORDS = 5
 U64 = np.uint64
 #: Odd multipliers of a 64-bit finaliser.
 M1, M2, M3 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -151,3 +151,23 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / (total - low) if total > low else 1.0
 
 
+
+
+class Block:
+    """Weighted sets whose similarities to another set are found all at once."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        h = np.concatenate([x for x, _ in sets])
+        order = np.argsort(h, kind="stable")
+        self.h, self.n = h[order], len(sets)
+        self.owner = np.repeat(np.arange(self.n), [len(x) for x, _ in sets])[order]
+        self.w = np.concatenate([w for _, w in sets]).astype(np.float64)[order]
+        self.total = np.bincount(self.owner, self.w, minlength=self.n)
+
+    def similarities(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+        size = hi - lo
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        low = np.bincount(self.owner[at], np.minimum(self.w[at], np.repeat(w.astype(np.float64), size)), minlength=self.n)
+        both = self.total + float(w.astype(np.float64).sum())
+        return np.divide(low, both - low, out=np.ones(self.n), where=both > low)
