@@ -67,9 +67,9 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Steps: (1) hash the chunks where the text stands; only hashes that come twice or more
     go on; (2) texts meet the numbers of their repeated hashes and are written; (3) these
     chunks, as bytes, are grouped; each text's first place (least id, text hash, number)
-    stays, the others are dropped. Counting is a partial aggregation, so a chunk that a
-    third of all documents share costs one row a task; joins on chunk keys are
-    sort-merge joins whose skewed partitions the engine splits.
+    stays, the others are dropped. First places are minima in a partial aggregation, so a
+    chunk that a third of all documents share costs one row a task, and what is not a
+    first place is found by an anti join on places, which no chunk can skew.
     """
     rows = docs.withColumns({KEY: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), TEXT: F.coalesce(F.col(text_col).cast("string"), F.lit(""))})
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(KEY).alias("key"), chunks(F.col(TEXT)).alias("all"))
@@ -83,8 +83,9 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     some = held.where(F.col(MINE).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(KEY).alias("key"), F.col(text_col).cast("string").alias("t"), F.col(MINE).alias("maybe"))
     texts = some.select("id", "key", F.explode(let(chunks(F.col("t")), lambda all_: F.transform("maybe", lambda p: F.struct(p.alias("pos"), F.get(all_, p)["c"].alias("c"))))).alias("x"))
     texts = materialize(texts.select("id", "key", "x.pos", "x.c"), "chunk-bytes")
-    first = texts.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "pos")).alias("first")).where(F.col("n") > 1)
-    drop = texts.join(first, "c").where(~F.struct("id", "key", "pos").eqNullSafe(F.col("first")))
+    first = texts.groupBy("c").agg(F.min(F.struct("id", "key", "pos")).alias("x")).select(F.col("x.id").alias("f_id"), F.col("x.key").alias("f_key"), F.col("x.pos").alias("f_pos"))
+    is_first = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")) & (F.col("pos") == F.col("f_pos"))
+    drop = texts.select("id", "key", "pos").join(first, is_first, "left_anti")
     drop = drop.groupBy("id", "key").agg(F.collect_set("pos").alias("__dedup_drop")).select(F.col("id").alias("__dedup_wid"), F.col("key").alias("__dedup_wkey"), "__dedup_drop")
     same = (F.col(KEY) == F.col("__dedup_wkey")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__dedup_wid"))
     touched = held.where(F.col(MINE).isNotNull()).join(drop, same, "left").drop("__dedup_wid", "__dedup_wkey")
