@@ -18,8 +18,7 @@ RULES: list[tuple[str, int, str]] = [
     ("capitals", -1, "n_upper >= 0.40 * word_chars"),
     ("shouting", -1, "n_shouts >= 0.20 * n_words"),
     ("bars", -1, "n_bars >= 0.10 * n_words"),
-    ("repeated_words", -1, "n_repeat_words >= 0.45 * n_words"),
-    ("repeated_lines", -1, "n_lines >= 4 AND n_dup_lines >= 0.40 * n_lines"),
+    ("repetitive", -1, "n_repeat_words >= 0.45 * n_words OR (n_lines >= 4 AND n_dup_lines >= 0.40 * n_lines)"),
     ("word_length", -1, "word_chars >= 15 * n_words OR word_chars < 2 * n_words"),
     ("too_short", -1, "n_words < 50"),
     ("calm", 1, "n_words >= 50 AND n_symbols < 0.05 * n_words AND n_upper < 0.20 * word_chars AND n_shouts < 0.05 * n_words"),
@@ -30,7 +29,7 @@ FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 #: The label model: rounds, the accuracy that a rule starts from, how many votes of that accuracy
 #: stand beside its own (as a part of them), and the least posterior that keeps.
-ROUNDS, PRIOR_ACCURACY, PRIOR_PART, KEEP_AT = 30, 0.9, 0.1, 0.5
+ROUNDS, PRIOR_ACCURACY, PRIOR_PART, KEEP_AT = 30, 0.9, 1.0, 0.5
 
 
 def _only(text: Column, chars: str) -> Column:
