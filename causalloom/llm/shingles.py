@@ -143,14 +143,20 @@ class ConsistentSampler:
         return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two sets of (distinct hashes in order, weights)."""
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+Weighted = tuple[np.ndarray, np.ndarray]
+
+
+def weighted_jaccard(a: Weighted, b: Weighted) -> float:
+    """Of two sets of (distinct hashes in order, weights)."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     low = float(np.minimum(a[1][i], b[1][j]).astype(np.float64).sum())
     total = float(a[1].astype(np.float64).sum() + b[1].astype(np.float64).sum())
     return low / (total - low) if total > low else 1.0
 
 
+def similarity(a: Weighted, b: Weighted) -> float:
+    """Weighted Jaccard similarity; the same with all weights 1 counts if it is higher, so that no weight hides a copy."""
+    return max(weighted_jaccard(a, b), weighted_jaccard((a[0], np.ones(len(a[0]))), (b[0], np.ones(len(b[0])))))
 
 
 class Block:
@@ -163,11 +169,16 @@ class Block:
         self.owner = np.repeat(np.arange(self.n), [len(x) for x, _ in sets])[order]
         self.w = np.concatenate([w for _, w in sets]).astype(np.float64)[order]
         self.total = np.bincount(self.owner, self.w, minlength=self.n)
+        self.size = np.bincount(self.owner, minlength=self.n)
 
     def similarities(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """similarity() of (h, w) with every set of the block."""
         lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
-        size = hi - lo
-        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-        low = np.bincount(self.owner[at], np.minimum(self.w[at], np.repeat(w.astype(np.float64), size)), minlength=self.n)
+        times = hi - lo
+        at = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+        owner = self.owner[at]
+        low = np.bincount(owner, np.minimum(self.w[at], np.repeat(w.astype(np.float64), times)), minlength=self.n)
+        common = np.bincount(owner, minlength=self.n)
         both = self.total + float(w.astype(np.float64).sum())
-        return np.divide(low, both - low, out=np.ones(self.n), where=both > low)
+        weighted = np.divide(low, both - low, out=np.ones(self.n), where=both > low)
+        return np.maximum(weighted, common / np.maximum(1, self.size + len(h) - common))
