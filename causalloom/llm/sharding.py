@@ -13,7 +13,7 @@ from .common import materialize
 COORD_BITS, HASH_BITS, STEP_BITS = 20, 31, 13
 KEY_BITS = COORD_BITS + HASH_BITS
 #: A group of equal texts over this part of a shard's target is cut into pieces of about that size.
-PIECE_PART = 1 / 256
+PIECE_PART = 1 / 32
 #: Rows numbered by one window task.
 SLOT_ROWS = 200_000
 DIMENSIONS = ["d_length", "d_source", "d_lang"]
