@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from causalloom.functions import kernels
 
 
+def shifted(x: Column, by: Column) -> Column:
+    """x moved right by `by` places (left if negative), zeros in the gap; all zeros beyond its length."""
+    n = F.size(x)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.when((i - by >= 0) & (i - by < n), F.get(x, i - by)), F.lit(0.0)))
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -91,3 +97,26 @@ def preferred_k(scores: DataFrame, by: list[str]) -> DataFrame:
     """The k with the best silhouette over -1, least k on ties; 0 (unclustered) if none is."""
     best = F.max(F.when(F.col("silhouette") > -1, F.struct("silhouette", (-F.col("k")).alias("minus_k"))))
     return scores.groupBy(*by).agg(best.alias("b")).select(*by, F.coalesce(-F.col("b.minus_k"), F.lit(0)).cast("int").alias("preferred_k"), F.col("b.silhouette").alias("silhouette"))
+
+
+def index_table(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Scores per k as rows of text and number, and one row `best` with the best k (least on ties)."""
+    best = scores.groupBy(*by).agg(F.max(F.struct("silhouette", (-F.col("k")).alias("m"))).alias("b"))
+    rows = scores.select(*by, F.col("k").cast("string").alias("index"), F.col("silhouette").alias("value"))
+    return rows.unionByName(best.select(*by, F.lit("best").alias("index"), (-F.col("b.m")).cast("double").alias("value")))
+
+
+def larger_ks(preferred: DataFrame, fields: DataFrame, at: tuple[int, ...] = (6, 7), first: int = 8, most: int = 15) -> DataFrame:
+    """(service, k) to try next: where the preferred k is the largest tried, k = first up to min(fields, most) - 1."""
+    rows = preferred.where(F.col("preferred_k").isin(*at)).join(fields.select("service", "n_fields"), "service")
+    top = F.least("n_fields", F.lit(most)) - 1
+    return rows.where(top >= first).select("service", F.explode(F.sequence(F.lit(first), top.cast("int"))).alias("k"))
+
+
+def reduced(series: DataFrame, representatives_: DataFrame, preferred: DataFrame) -> DataFrame:
+    """Series that stand for their service: representatives at the preferred k, or all where nothing was clustered."""
+    kept = preferred.select("service", "preferred_k")
+    reps = representatives_.join(kept, (representatives_.service == kept.service) & (representatives_.k == kept.preferred_k)).select(representatives_.service, F.col("representative").alias("metric"))
+    chosen = series.join(reps, ["service", "metric"], "left_semi")
+    all_ = series.join(kept.where(F.col("preferred_k") > 0).select("service"), "service", "left_anti")
+    return chosen.unionByName(all_)

@@ -80,3 +80,16 @@ def run_query(stream: DataFrame, path: str, checkpoint: str, trigger: str = "10
     if retention_column:
         writer = stream.withColumn("day", F.to_date(retention_column)).writeStream.option("checkpointLocation", checkpoint).option("path", path).format("parquet").outputMode("append").trigger(processingTime=trigger).partitionBy("day")
     return writer.start()
+
+
+def expire(spark, path: str, before: str, column: str = "day") -> list[str]:
+    """Delete the partitions of a written stream that lie before a date; returns the dates. Works on any Hadoop file system."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith(f"{column}=") and name.removeprefix(f"{column}=") < before:
+            fs.delete(status.getPath(), True)
+            gone.append(name.removeprefix(f"{column}="))
+    return sorted(gone)
