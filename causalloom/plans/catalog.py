@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causalloom.functions import names
-from causalloom.functions.runtime import visible
+from causalloom.functions.runtime import materialize, visible
 from causalloom.operators import causality, clustering, diagnostics, distance, graphs, monitoring, series, versions
 from causalloom.sources import readers, writers
 
@@ -533,7 +533,7 @@ def version_edges(c: DataFrame) -> DataFrame:
 
 
 def edge_changes(spark, d):
-    c = clusters(spark, d)
+    c = materialize(clusters(spark, d), "version-clusters")
     return versions.edge_diff(version_edges(c), c)
 
 
@@ -607,3 +607,57 @@ def influx_parse(spark, d):
     c = _t(spark, d, "customer")
     m = F.create_map(F.lit("c_mktsegment"), F.col("c_mktsegment"), F.lit("c_nationkey"), F.col("c_nationkey").cast("string"))
     return readers.parse_points(c.select(writers.point_line(F.lit("customer"), m).alias("value")))
+
+
+# --- further operators --------------------------------------------------------------------
+
+
+@query("SELECT vec_id, k::INT AS k, list_aggregate(list_transform(range(1, 9), lambda i: (CASE WHEN i - k BETWEEN 1 AND 8 THEN round(embedding[i - k]::DOUBLE, 4) ELSE 0 END)::DECIMAL(9, 4)::VARCHAR), 'string_agg', ',') AS rolled FROM (SELECT vec_id, embedding[1:8] AS embedding, unnest([-3, 2, 9]) AS k FROM embeddings)")
+def zero_pad_roll(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("x"), F.explode(F.array(F.lit(-3), F.lit(2), F.lit(9))).alias("k"))
+    rolled = F.transform(distance.shifted(F.col("x"), F.col("k")), lambda v: F.round(v, 4).cast("decimal(9,4)").cast("string"))
+    return e.select("vec_id", "k", F.array_join(rolled, ",").alias("rolled"))
+
+
+SCORES = "s AS (SELECT c_mktsegment AS service, 2 + (c_custkey % 6)::INT AS k, round(avg(c_acctbal) / 10000, 3) AS silhouette FROM customer GROUP BY ALL)"
+
+
+def segment_scores(spark, d):
+    return _t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("service"), (2 + F.col("c_custkey") % 6).cast("int").alias("k")).agg(F.round(F.avg("c_acctbal") / 10000, 3).alias("silhouette"))
+
+
+@query(f"WITH {SCORES} SELECT service, k::VARCHAR AS index, silhouette AS value FROM s UNION ALL SELECT service, 'best', arg_max(k, (silhouette, -k))::DOUBLE FROM s GROUP BY service")
+def index_table(spark, d):
+    return distance.index_table(segment_scores(spark, d), ["service"])
+
+
+@query(f"WITH {SCORES}, p AS (SELECT service, arg_max(k, (silhouette, -k)) AS pk FROM s GROUP BY service), f AS (SELECT c_mktsegment AS service, (8 + count(*) % 9)::INT AS n FROM customer GROUP BY ALL) SELECT service, unnest(range(8, least(n, 15)))::INT AS k FROM p JOIN f USING (service) WHERE pk IN (5, 6, 7) AND least(n, 15) - 1 >= 8")
+def larger_ks(spark, d):
+    fields = _t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("service")).agg((8 + F.count("*") % 9).cast("int").alias("n_fields"))
+    return distance.larger_ks(distance.preferred_k(segment_scores(spark, d), ["service"]), fields, (5, 6, 7))
+
+
+@query(CL + """, c AS (SELECT * FROM cl WHERE version = 'f'), p AS (SELECT service, cluster AS old, representative AS was, metrics AS had FROM cl WHERE version = 'nf'),
+j AS (SELECT c.service, c.cluster, c.representative, old, was, (was = representative) OR (list_contains(metrics, was) AND list_contains(had, representative)) AS fits FROM c LEFT JOIN p USING (service)),
+k AS (SELECT service, cluster, representative, arg_min(was, old) FILTER (fits) AS w FROM j GROUP BY ALL) SELECT service, cluster, coalesce(w, representative) AS representative, w IS NOT NULL AS kept FROM k""")
+def hand_over(spark, d):
+    c = clusters(spark, d).withColumnRenamed("metrics", "members")
+    return clustering.hand_over(c.where("version = 'f'").drop("version"), c.where("version = 'nf'").drop("version"))
+
+
+@query("SELECT page_id, CASE WHEN contains(url, ':') THEN regexp_extract(url, '^[^:]*:([^/]*)', 1) END AS port, 'nova_' || replace(split_part(url, '/', 3), '.', '_') || '_avg' AS meter FROM pages")
+def url_parts(spark, d):
+    p = _t(spark, d, "pages")
+    return p.select("page_id", names.port_of(F.col("url")).alias("port"), names.meter_name("nova", F.get(F.split("url", "/"), F.lit(2)), "avg").alias("meter"))
+
+
+@query("SELECT s_suppkey, 'metric ' || lower(replace(s_name, '#', '_')) || ' int32 ' || s_nationkey AS line, 'status ' || CASE WHEN s_acctbal >= 0 THEN 'okay' ELSE 'error negative' END AS status FROM supplier")
+def status_lines(spark, d):
+    s = _t(spark, d, "supplier")
+    ok = F.col("s_acctbal") >= 0
+    return s.select("s_suppkey", writers.metric_line(F.lower(F.replace("s_name", F.lit("#"), F.lit("_"))), F.lit("int32"), F.col("s_nationkey")).alias("line"), writers.status_line(ok, F.when(ok, "").otherwise("negative")).alias("status"))
+
+
+@query(CL + " SELECT service, cluster, CASE WHEN length(representative) > 11 THEN left(representative, 5) || '::' || right(representative, 6) ELSE representative END || ':' || chr(10) || CASE WHEN len(metrics) <= 3 THEN list_aggregate(metrics, 'string_agg', ', ') WHEN len(metrics) <= 6 THEN list_aggregate(metrics[1:3], 'string_agg', ', ') || chr(10) || list_aggregate(metrics[4:6], 'string_agg', ', ') ELSE list_aggregate(metrics[1:3], 'string_agg', ', ') || chr(10) || list_aggregate(metrics[4:6], 'string_agg', ', ') || chr(10) || list_aggregate(metrics[7:9], 'string_agg', ', ') END AS cell FROM cl WHERE version = 'f'")
+def metric_table(spark, d):
+    return writers.metric_table(clusters(spark, d).where("version = 'f'"))
