@@ -100,10 +100,11 @@ def edges(classified: DataFrame) -> DataFrame:
 
 def graph_stats(classified: DataFrame) -> DataFrame:
     """Significant lags by class, and distinct services that any of them touches."""
-    ends = F.explode(F.array(F.substring_index("a", "|", 1), F.substring_index("b", "|", 1))).alias("service")
-    services = classified.select(ends).agg(F.count_distinct("service").alias("services"))
-    n = [F.count_if(F.col("direction") == d).alias(d) for d in ("forward", "back", "bidir")]
-    return classified.agg(F.count("*").alias("edges"), *n).crossJoin(F.broadcast(services))  # one row each
+    ends = F.explode(F.array(F.struct(F.lit(True).alias("one"), F.substring_index("a", "|", 1).alias("service")), F.struct(F.lit(False).alias("one"), F.substring_index("b", "|", 1).alias("service"))))
+    rows = classified.select("direction", ends.alias("end"))
+    one = F.col("end.one")
+    n = [F.count_if(one & (F.col("direction") == d)).alias(d) for d in ("forward", "back", "bidir")]
+    return rows.agg(F.count_if(one).alias("edges"), *n, F.count_distinct("end.service").alias("services"))
 
 
 def service_rollup(edges_: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causalloom.functions.runtime import materialize
+
 THRESHOLDS = [0.01, 0.5, 0.6, 0.7]
 
 
@@ -93,8 +95,8 @@ def edge_diff(edges: DataFrame, clusters: DataFrame, thresholds: list[float] = T
     match novel clusters at the threshold, without an edge there, is `discarded`.
     """
     match = cluster_match(clusters).select("service", F.col("representative").alias("metric"), F.col("best_representative").alias("to"), "score")
-    novel = cluster_novelty(clusters).select("service", F.col("representative").alias("metric"), "novelty")
-    ends = match.join(novel, ["service", "metric"])
+    novel = materialize(cluster_novelty(clusters).select("service", F.col("representative").alias("metric"), "novelty"), "novelty")  # one row a cluster, read twice
+    ends = materialize(match.join(novel, ["service", "metric"]), "edge-ends")
     f = edges.where(F.col("version") == "f").select("p_service", "p_metric", "c_service", "c_metric", F.array_sort("lags").alias("lags"))
     nf = edges.where(F.col("version") == "nf").select("p_service", "p_metric", "c_service", "c_metric", F.array_sort("lags").alias("lags"))
 
@@ -112,7 +114,7 @@ def edge_diff(edges: DataFrame, clusters: DataFrame, thresholds: list[float] = T
     bases = F.explode(F.filter(F.array(F.lit("novelty"), F.when(both, "similarity")), lambda x: x.isNotNull())).alias("basis")
     changed = judged.select(bases, "threshold", "p_service", "p_metric", "c_service", "c_metric", "change")
     back = cluster_match(clusters, "nf", "f").where(F.col("best").isNotNull()).select("service", F.col("representative").alias("metric"), F.col("best_representative").alias("to"), "score")
-    back = back.join(novel.select("service", F.col("metric").alias("to"), "novelty"), ["service", "to"])
+    back = materialize(back.join(novel.select("service", F.col("metric").alias("to"), "novelty"), ["service", "to"]), "edge-ends")
     gone = nf.join(side("p", back), ["p_service", "p_metric"]).join(side("c", back), ["c_service", "c_metric"])
     gone = gone.where((F.col("p_novelty") >= least_novelty) & (F.col("c_novelty") >= least_novelty))
     now = f.select("p_service", F.col("p_metric").alias("p_to"), "c_service", F.col("c_metric").alias("c_to"))
