@@ -224,20 +224,20 @@ def name_clusters(spark, d):
 
 # --- distances ------------------------------------------------------------------
 
-VEC = "WITH v AS (SELECT 's' || (label % 3) AS service, 'v' || vec_id AS metric, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings WHERE vec_id < 24)"
+VEC = "WITH v AS (SELECT 's' || label AS service, 'v' || vec_id AS metric, list_transform(embedding, lambda x: x::DOUBLE) AS v, (vec_id % 3)::INT AS part FROM embeddings)"
 PAIRS = VEC + """, p AS (SELECT x.service, x.metric AS a, y.metric AS b, x.v AS x, y.v AS y FROM v x JOIN v y ON x.service = y.service AND x.metric < y.metric),
 c AS (SELECT service, a, b, s, list_sum(list_transform(range(greatest(1, 1 - s), least(64, 64 - s) + 1), lambda t: x[t + s] * y[t])) / (sqrt(list_sum(list_transform(x, lambda q: q * q))) * sqrt(list_sum(list_transform(y, lambda q: q * q)))) AS ncc FROM (SELECT *, unnest(range(-63, 64)) AS s FROM p)),
 d AS (SELECT service, a, b, max(ncc) AS ncc, 1 - max(ncc) AS sbd, (-arg_max(s, ncc))::INT AS lag FROM c GROUP BY ALL)"""
 
 
 def short_series(spark, d):
-    """A fixed handful of ready-made series: the pairwise kernels are quadratic by nature."""
-    e = _t(spark, d, "embeddings").where("vec_id < 24")
-    return e.select(F.concat(F.lit("s"), F.col("label") % 3).alias("service"), F.concat(F.lit("v"), "vec_id").alias("metric"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    """Ready-made series: a service per label; pairs are within a service."""
+    e = _t(spark, d, "embeddings")
+    return e.select(F.concat(F.lit("s"), "label").alias("service"), F.concat(F.lit("v"), "vec_id").alias("metric"), F.col("embedding").cast("array<double>").alias("v"), (F.col("vec_id") % 3).cast("int").alias("part"))
 
 
 def measured_pairs(spark, d):
-    return distance.with_sbd(distance.pairs_within(short_series(spark, d), ["service"]))
+    return distance.with_sbd_long(distance.pairs_within(short_series(spark, d), ["service"]))
 
 
 @query(PAIRS + " SELECT service, a, b, round(ncc, 6) + 0.0 AS ncc FROM d")
@@ -255,7 +255,7 @@ def sbd_lag(spark, d):
     return measured_pairs(spark, d).select("service", "a", "b", "lag")
 
 
-SIL = PAIRS + """, l AS (SELECT service, metric AS key, label % 2 AS cluster FROM v), m AS (SELECT service, a AS key, b AS other, sbd FROM d UNION ALL SELECT service, b, a, sbd FROM d),
+SIL = PAIRS + """, l AS (SELECT service, metric AS key, part AS cluster FROM v), m AS (SELECT service, a AS key, b AS other, sbd FROM d UNION ALL SELECT service, b, a, sbd FROM d),
 k AS (SELECT m.service, m.key, x.cluster AS own, y.cluster, avg(sbd) AS dist FROM m JOIN l x ON m.service = x.service AND m.key = x.key JOIN l y ON m.service = y.service AND m.other = y.key GROUP BY ALL),
 o AS (SELECT service, key, min(dist) FILTER (own = cluster) AS a, min(dist) FILTER (own <> cluster) AS b FROM k GROUP BY ALL),
 n AS (SELECT service, count(*) AS n, count(DISTINCT cluster) AS k FROM l GROUP BY service)
@@ -264,18 +264,18 @@ SELECT n.service, n, k, round(CASE WHEN k < 2 OR k >= n THEN -1 ELSE (SELECT avg
 
 @query(SIL)
 def silhouette(spark, d):
-    labels = short_series(spark, d).select("service", F.col("metric").alias("key"), (F.col("label") % 2).alias("cluster"))
+    labels = short_series(spark, d).select("service", F.col("metric").alias("key"), F.col("part").alias("cluster"))
     return distance.silhouette(measured_pairs(spark, d), labels, ["service"]).select("service", "n", "k", r("silhouette"))
 
 
-REP = VEC + """, g AS (SELECT service, metric, label % 2 AS cluster, v FROM v), cen AS (SELECT service, cluster, list(m ORDER BY i) AS c FROM (SELECT service, cluster, i, avg(v[i]) AS m FROM (SELECT *, unnest(range(1, 65)) AS i FROM g) GROUP BY ALL) GROUP BY ALL),
+REP = VEC + """, g AS (SELECT service, metric, part AS cluster, v FROM v), cen AS (SELECT service, cluster, list(m ORDER BY i) AS c FROM (SELECT service, cluster, i, avg(v[i]) AS m FROM (SELECT *, unnest(range(1, 65)) AS i FROM g) GROUP BY ALL) GROUP BY ALL),
 c AS (SELECT service, cluster, metric, max(ncc) AS ncc FROM (SELECT g.service, g.cluster, metric, s, list_sum(list_transform(range(greatest(1, 1 - s), least(64, 64 - s) + 1), lambda t: c[t + s] * v[t])) / (sqrt(list_sum(list_transform(c, lambda q: q * q))) * sqrt(list_sum(list_transform(v, lambda q: q * q)))) AS ncc FROM (SELECT *, unnest(range(-63, 64)) AS s FROM g) g JOIN cen USING (service, cluster)) GROUP BY ALL)
 SELECT service, cluster, metric AS representative, round(1 - ncc, 6) + 0.0 AS sbd FROM c QUALIFY row_number() OVER (PARTITION BY service, cluster ORDER BY 1 - ncc, metric) = 1"""
 
 
 @query(REP)
 def representatives(spark, d):
-    g = short_series(spark, d).select("service", F.col("metric").alias("key"), (F.col("label") % 2).alias("cluster"), "v")
+    g = short_series(spark, d).select("service", F.col("metric").alias("key"), F.col("part").alias("cluster"), "v")
     mean = g.select("service", "cluster", F.posexplode("v")).groupBy("service", "cluster", "pos").agg(F.avg("col").alias("m"))
     cen = mean.groupBy("service", "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("centroid"))
     return distance.representatives(g.join(cen, ["service", "cluster"]), ["service"]).select("service", "cluster", "representative", r("sbd"))
@@ -302,12 +302,12 @@ def centroid_lag(spark, d):
     return diagnostics.lag_to_centroid(rows).select("service", "k", "metric", "cluster", "lag", r("sbd"))
 
 
-@query(VEC + """, p AS (SELECT service, metric, label AS cluster FROM v WHERE label % 4 <> 1), r AS (SELECT service, metric, dense_rank() OVER (PARTITION BY service ORDER BY cluster) - 1 AS s FROM p),
+@query(VEC + """, p AS (SELECT service, metric, part * 2 AS cluster FROM v WHERE v[1] > 0), r AS (SELECT service, metric, dense_rank() OVER (PARTITION BY service ORDER BY cluster) - 1 AS s FROM p),
 j AS (SELECT v.service, v.metric, s, max(s) OVER (PARTITION BY v.service) AS top FROM v LEFT JOIN r USING (service, metric)), l AS (SELECT service, metric, coalesce(s, top + 1, 0)::INT AS start FROM j)
 SELECT service, metric, start, (max(start) OVER (PARTITION BY service) + 1)::INT AS k FROM l""")
 def warm_start(spark, d):
     s = short_series(spark, d)
-    return clustering.warm_start(s, s.where("label % 4 <> 1").select("service", "metric", F.col("label").alias("cluster"))).select("service", "metric", "start", "k")
+    return clustering.warm_start(s, s.where(F.get("v", F.lit(0)) > 0).select("service", "metric", (F.col("part") * 2).alias("cluster"))).select("service", "metric", "start", "k")
 
 
 @query()
@@ -338,7 +338,7 @@ def granger_lag1(spark, d):
 def tested(spark, d):
     v = series.vectors(series.prepared(kinds(spark, d)))
     calls = v.select("service").distinct().toDF("svc_x").join(v.select("service").distinct().toDF("svc_y"), F.col("svc_x") < F.col("svc_y"))
-    return causality.granger(causality.series_pairs(v.where("metric in ('m0', 'm1')"), calls))
+    return causality.granger(causality.series_pairs(v, calls))
 
 
 @query()
@@ -429,9 +429,11 @@ def trade(spark, d):
     return rows.groupBy("s", "t").agg(F.count("*").alias("n"))
 
 
-@query(TRADE + ", e AS (SELECT 'n' || s AS src, 'n' || t AS dst FROM t WHERE n % 3 = 0) SELECT DISTINCT least(src, dst) AS svc_x, greatest(src, dst) AS svc_y FROM e WHERE src <> dst AND src <> 'n3' AND dst <> 'n3'")
+@query(TRADE + ", e AS (SELECT 'n' || s AS src, 'n' || t AS dst FROM (SELECT *, avg(n) OVER () AS mean FROM t) WHERE n > mean) SELECT DISTINCT least(src, dst) AS svc_x, greatest(src, dst) AS svc_y FROM e WHERE src <> dst AND src <> 'n3' AND dst <> 'n3'")
 def callgraph_pairs(spark, d):
-    lines = trade(spark, d).where("n % 3 = 0").select(F.concat(F.lit('    "n'), "s", F.lit('" -> "n'), "t", F.lit('"')).alias("value"))
+    t = trade(spark, d)
+    mean = t.agg(F.avg("n")).first()[0]
+    lines = t.where(F.col("n") > mean).select(F.concat(F.lit('    "n'), "s", F.lit('" -> "n'), "t", F.lit('"')).alias("value"))
     e = readers.parse_dot(lines)
     known = e.select(F.col("src").alias("service")).union(e.select("dst")).distinct().where("service <> 'n3'")
     return graphs.call_pairs(e, known)
