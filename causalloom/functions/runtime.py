@@ -49,6 +49,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application has written to the shared folder so far; results that read them end with it."""
+    root = _roots.pop(spark.sparkContext.applicationId, None)
+    if root is not None:
+        _forget(spark, root)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back.
 

@@ -63,3 +63,12 @@ def test_expire(spark, tmp_path):
     spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-05")], "x int, day string").write.partitionBy("day").parquet(f"{tmp_path}/p")
     assert live.expire(spark, f"file://{tmp_path}/p", "2024-01-03") == ["2024-01-01"]
     assert spark.read.parquet(f"{tmp_path}/p").count() == 1
+
+
+def test_shared_folder(spark):
+    from causalloom.functions import runtime
+
+    df = runtime.materialize(spark.range(5), "t")
+    assert df.count() == 5 and df.inputFiles()[0].startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir")[:7])
+    path = runtime.shared_dir(spark, "x")
+    assert path.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))

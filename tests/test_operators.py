@@ -166,6 +166,21 @@ def test_pagerank_golden(spark):
         graphs.pagerank(readers.parse_arcs(lines(spark, BULL)), alpha=0)
 
 
+GOLDEN = """
+0 => 0.5 => 1
+0 => 0.5 => 2
+1 => 0.5 => 2
+1 => 0.5 => 3
+2 => 1.0 => 4
+"""
+
+
+def test_pagerank_published_values(spark):
+    got = graphs.pagerank(readers.parse_arcs(lines(spark, GOLDEN)), start="0")
+    assert got.first().iterations == 15
+    assert {r.node: round(r.rank, 7) for r in got.collect()} == {"0": 0.1138006, "1": 0.1621656, "2": 0.2310865, "3": 0.1827215, "4": 0.3102259}
+
+
 def test_numeric_nodes(spark):
     assert [r.node for r in graphs.numeric_nodes(readers.parse_arcs(lines(spark, "0 => 1 => 3"))).collect()] == ["0", "1", "2", "3"]
 
