@@ -28,7 +28,7 @@ MARKUP = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0]+")
+SPACE = re.compile(r"\s+")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -72,7 +72,7 @@ def blocks(page: str | None) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if held:
-            text = SPACE.sub(" ", html.unescape("".join(held))).strip(" ")
+            text = SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text and not hidden:
                 out.append(Block(text, path, min(linked, len(text))))
             held.clear()
