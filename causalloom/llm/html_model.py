@@ -12,6 +12,8 @@ import numpy as np
 from .html_blocks import Block, blocks
 
 PATH_CELLS, WORD_CELLS, NUMBERS, DENSE, HIDDEN_UNITS = 256, 64, 8, 32, 16
+#: Part of the training pages whose words are hidden, so that paths and context must do.
+WORD_DROPOUT = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -123,7 +125,7 @@ class BlockLabeller:
         g["bd"] = pre.sum((0, 1))
         return g
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 7) -> None:
+    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 7) -> None:
         """Adam over batches of pages."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -134,6 +136,7 @@ class BlockLabeller:
             for lo in range(0, len(order), batch):
                 part = [pages[i] for i in order[lo : lo + batch]]
                 x, mask = pad([p for p, _ in part])
+                x[rng.random(len(x)) < WORD_DROPOUT, :, PATH_CELLS : PATH_CELLS + WORD_CELLS] = 0
                 y, _ = pad([v[:, None] for _, v in part])
                 step += 1
                 for k, d in self.gradients(x, mask, y[:, :, 0]).items():
@@ -194,6 +197,13 @@ BAD_WORDS = {
     "form": "email subscribe name password submit send search newsletter sign up your address".split(),
     "comments": "reply comment said wrote posted by ago great thanks i agree guest user like".split(),
 }
+# Frequent words of four languages, which say nothing about a block's role.
+FUNCTION_WORDS = [
+    "the of and to in a is that it for on was as with be by at this from or are an but not which".split(),
+    "le la les de des du et un une en que qui dans pour sur par est au ne pas avec plus ce son".split(),
+    "der die das und in zu den von mit ist des im für auf dem nicht ein eine als auch es an bei".split(),
+    "el la los de que y en un una ser se no por con su para como es al lo del las más o".split(),
+]
 TAGS = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "notice": "div", "advert": "div", "form": "form", "comments": "section"}
 
 
@@ -203,6 +213,7 @@ class PageMaker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.n = 0
+        self.common: list[str] = []
 
     def word(self) -> str:
         r = self.r
@@ -212,7 +223,7 @@ class PageMaker:
         r, out = self.r, []
         junk = r.random() < 0.05
         for i in range(r.randint(low, high)):
-            w = r.choice(words) if words and r.random() < 0.5 else self.word()
+            w = r.choice(words) if words and r.random() < 0.5 else r.choice(self.common) if self.common and r.random() < 0.4 else self.word()
             w = w.capitalize() if i == 0 or r.random() < 0.05 else w
             w += r.choice([".", ",", ""]) if marks and r.random() < 0.15 else ""
             out.append(w + (r.choice(["***", "###", "$$$", "%%%", "&amp;&amp;"]) if junk else ""))
@@ -241,13 +252,15 @@ class PageMaker:
         kinds = {"menu": 0, "header": r.choice([0, 1]), "footer": r.choice([0, 1, 1]), "sidebar": r.choice([0, 1, 2]), "form": 3, "comments": 2, "notice": 1, "advert": r.choice([1, 1, 2])}
         shape = kinds[kind]
         if shape == 0:
-            items = "".join(f'<li><a href="/{self.word()}">{self.mark(False, self.prose(1, 3, foreign, False))}</a></li>' for _ in range(r.randint(2, 8)))
-            inner = f"<ul>{items}</ul>"
+            item = r.choice(['<li><a href="/x">{}</a></li>'] * 3 + ["<li>{}</li>", '<a href="/x">{}</a> | '])
+            items = "".join(item.format(self.mark(False, self.prose(1, 3, foreign, False))) for _ in range(r.randint(2, 8)))
+            inner = f"<ul>{items}</ul>" if item.startswith("<li") else items
         elif shape == 1:
             inner = self.mark(False, r.choice(["", "&copy; "]) + self.prose(2, 25, foreign))
             inner = r.choice(["{}", "<p>{}</p>", "<span>{}</span>", '<a href="/x">{}</a>']).format(inner)
         elif shape == 2:
-            head = r.choice([f"<h3>{self.mark(False, self.prose(1, 4, foreign, False))}</h3>", ""])
+            k = r.randint(2, 4)
+            head = f"<h{k}>{self.mark(False, self.prose(1, 4, foreign, False))}</h{k}>" if r.random() < 0.6 else ""
             inner = head + "".join(r.choice(["<p>{}</p>", "<div>{}</div>"]).format(self.mark(False, self.prose(4, 60, foreign))) for _ in range(r.randint(1, 5)))
         else:
             inner = f"<label>{self.mark(False, self.prose(1, 4, foreign, False))}</label><input name=q><button>{self.mark(False, self.prose(1, 2, foreign, False))}</button>"
@@ -255,34 +268,53 @@ class PageMaker:
 
     def article(self) -> str:
         r, parts = self.r, []
+        bare = r.random() < 0.2
         if r.random() < 0.85:
-            parts.append(f"<h1>{self.mark(True, self.prose(2, 14, None, r.random() < 0.5))}</h1>")
+            title = f"<h1>{self.mark(True, self.prose(2, 14, None, r.random() < 0.5))}</h1>"
+            parts.append(f"<header>{title}</header>" if r.random() < 0.1 else title)
         for _ in range(r.choice([1, 2, 3, 5, 8, 12, 20, 40])):
             text = self.mark(True, self.prose(1, r.choice([3, 10, 40, 120, 250])))
             kind = r.random()
-            if kind < 0.72:
+            if kind < 0.66 and not bare:
                 parts.append(f"<p>{text}</p>" if r.random() < 0.8 else f"<p>{text}")
-            elif kind < 0.80:
+            elif kind < 0.66:
+                parts.append(f"<div>{text}</div>")
+            elif kind < 0.72:
                 parts.append(f"<p><b>{text}<br>")
-            elif kind < 0.86:
-                parts.append(f"<h{r.randint(2, 4)}>{text}</h2>".replace("</h2>", f"</h{2}>"))
-            elif kind < 0.90:
-                parts.append(f"<blockquote><p>{text}</p></blockquote>")
-            elif kind < 0.95:
-                parts.append("<ul>" + "".join(f"<li>{self.mark(True, self.prose(2, 20))}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
-            elif kind < 0.97:
+            elif kind < 0.78:
+                k = r.randint(2, 4)
+                parts.append(f"<h{k}>{text}</h{k}>")
+            elif kind < 0.82:
+                parts.append(f"<blockquote><p>{text}</p></blockquote>" if r.random() < 0.5 else f"<blockquote>{text}</blockquote>")
+            elif kind < 0.87:
+                t = r.choice(["ul", "ol"])
+                parts.append(f"<{t}>" + "".join(f"<li>{self.mark(True, self.prose(1, 20))}</li>" for _ in range(r.randint(1, 5))) + f"</{t}>")
+            elif kind < 0.89:
                 parts.append(f"<pre>{text}</pre>")
+            elif kind < 0.92:
+                parts.append(f"<figure><img src=x><figcaption>{self.mark(True, self.prose(2, 12))}</figcaption></figure>")
+            elif kind < 0.94:
+                parts.append(f"<dl><dt>{self.mark(True, self.prose(1, 3))}</dt><dd>{text}</dd></dl>")
+            elif kind < 0.96:
+                parts.append(f"<section><h2>{self.mark(True, self.prose(1, 6))}</h2><p>{text}</p></section>")
             else:
-                parts.append(f"<table><tr><td>{text}</td><td>{self.mark(True, self.prose(1, 5))}</td></tr></table>")
+                head = "<tr>" + "".join(f"<th>{self.mark(True, self.prose(1, 3, None, False))}</th>" for _ in range(2)) + "</tr>" if r.random() < 0.5 else ""
+                body = "".join(f"<tr><td>{self.mark(True, self.prose(1, 4))}</td><td>{self.mark(True, self.prose(1, 8))}</td></tr>" for _ in range(r.randint(1, 4)))
+                parts.append(f"<table>{head}{body}</table>")
         if r.random() < 0.25:
             parts.insert(r.randint(0, len(parts)), self.junk(r.choice(["advert", "sidebar", "form", "notice"])))
         tag = r.choice(["article", "article", "article", "main", "div", "section"])
         attrs = " " + self.name(GOOD_NAMES) if tag in ("div", "section") or r.random() < 0.3 else ""
+        if r.random() < 0.15:
+            return "".join(parts)
+        if tag in ("div", "section") and r.random() < 0.15:
+            attrs = ""
         out = f"<{tag}{attrs}>{''.join(parts)}</{tag}>"
         return f"<div {self.name(GOOD_NAMES + ['wrapper', 'container', 'row', 'col'])}>{out}</div>" if r.random() < 0.25 else out
 
     def page(self) -> str:
         r = self.r
+        self.common = r.choice(FUNCTION_WORDS) if r.random() < 0.7 else []
         before = [self.junk(k) for k in ("notice", "header", "menu", "advert", "sidebar") if r.random() < 0.45]
         after = [self.junk(k) for k in ("form", "comments", "sidebar", "advert", "footer", "notice") if r.random() < 0.45]
         r.shuffle(before)
@@ -312,7 +344,7 @@ def labelled(count: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 1200, seed: int = 7) -> BlockLabeller:
+def trained(pages: int = 2400, seed: int = 7) -> BlockLabeller:
     """The labeller, fitted to a fixed number of invented pages: the same for every input."""
     model = BlockLabeller(seed)
     model.fit(labelled(pages, seed), seed=seed)
