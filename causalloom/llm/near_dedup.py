@@ -22,7 +22,7 @@ COUNT_DOCS, COUNT_PART = 4096, 1 / 1024
 #: Members of a bucket that the others are compared with.
 LEADERS = 4
 #: Texts of a block whose members are compared all with all.
-BLOCK = 256
+BLOCK = 512
 
 _hashes: list[WordHash] = []
 
@@ -140,8 +140,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
        aggregation; every other member pairs with them: rows grow with members, not pairs.
     4. Each text is verified, whole, with the leader that it meets most; links form
        components. Buckets that still hold two components or more are compared exactly in
-       blocks (_mixed), and members of large buckets that joined no leader there are
-       compared with each other over all blocks (_rest): no bucket is capped.
+       blocks (_mixed), and in buckets of several blocks every two members that are still
+       in different components are compared too (_rest): no bucket is capped.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -192,21 +192,23 @@ def _mixed(met: DataFrame, lead: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _rest(met: DataFrame, lead: DataFrame, roots: DataFrame) -> DataFrame:
-    """Tasks for members of large buckets that joined none of the leaders: every two of their blocks meet.
+    """Tasks for buckets of over one block: every two members in different components meet.
 
-    A bucket of m such members costs m / BLOCK copies of each text.
+    A pair in two components has an end outside the bucket's largest one. So blocks of all
+    members (left) meet blocks of the outsiders (right): with m members and o outsiders a
+    text is copied o / BLOCK times, an outsider's m / BLOCK times more.
     """
-    large = lead.where(F.col("n") > BLOCK).select("bucket", "leaders")
-    led = large.select("bucket", F.explode("leaders").alias("node")).join(roots, "node", "left")
-    led = led.groupBy("bucket").agg(F.collect_set("root").alias("roots"), F.collect_set("node").alias("heads"))  # LEADERS entries at most
-    mine = met.join(led, "bucket").join(roots, "node", "left")
-    joined = F.coalesce(F.array_contains("roots", F.col("root")), F.lit(False)) | F.array_contains("heads", F.col("node"))
-    alone = materialize(mine.where(~joined).select("bucket", "node"), "alone")
-    sizes = alone.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = alone.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.select("bucket", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    task = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task")
-    return dealt.select(task, "node", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
+    large = lead.where(F.col("n") > BLOCK).select("bucket")
+    mine = met.join(large, "bucket").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mine = materialize(mine, "large-buckets")
+    parts = mine.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("bucket").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("main")).where(F.col("m") > F.col("main.n"))
+    sizes = sizes.select("bucket", F.col("main.root").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("lefts"), F.ceil((F.col("m") - F.col("main.n")) / BLOCK).cast("int").alias("rights"))
+    placed = mine.join(sizes, "bucket").withColumn("h", F.xxhash64("node"))
+    left = placed.select("bucket", "node", F.pmod("h", "lefts").alias("l"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("r"), F.lit(True).alias("left"))
+    right = placed.where(F.col("root") != F.col("main")).select("bucket", "node", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod("h", "rights").alias("r"), F.lit(False).alias("left"))
+    both = left.unionByName(right)
+    return both.select(F.xxhash64("bucket", F.col("l").cast("int"), F.col("r").cast("int")).alias("task"), "node", "left", (~F.col("left")).alias("right"))
 
 
 def _compared(tasks: DataFrame, texts: DataFrame, roots: DataFrame, idf, threshold: float) -> DataFrame:
