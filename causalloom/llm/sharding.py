@@ -11,6 +11,8 @@ from .common import materialize
 
 #: A coordinate on the widest dimension has this many bits; ties below it fall to a hash of the text.
 COORD_BITS, HASH_BITS, STEP_BITS = 20, 31, 13
+#: At most this many bits of sums come to the driver in a round; at most so many leaves are made.
+SUM_BITS, MOST_LEAVES = 20, 1 << 16
 KEY_BITS = COORD_BITS + HASH_BITS
 #: A group of equal texts over this part of a shard's target is cut into pieces of about that size.
 PIECE_PART = 1 / 32
@@ -32,58 +34,69 @@ def _unit(x: Column, low: float, high: float) -> Column:
     return F.coalesce((x - low) / (high - low), F.lit(0.0)) if high > low else F.lit(0.0)
 
 
-def _key(dim: Column) -> Column:
-    """Order on a dimension, ties by a hash: an integer of KEY_BITS bits."""
-    cell = F.least(F.floor(dim * (1 << COORD_BITS)), F.lit((1 << COORD_BITS) - 1)).cast("long")
+def _key() -> Column:
+    """Order on the dimension numbered `dim`, ties by a hash: an integer of KEY_BITS bits."""
+    x = F.when(F.col("dim") == 0, F.col(DIMENSIONS[0])).when(F.col("dim") == 1, F.col(DIMENSIONS[1])).otherwise(F.col(DIMENSIONS[2]))
+    cell = F.least(F.floor(x * (1 << COORD_BITS)), F.lit((1 << COORD_BITS) - 1)).cast("long")
     return F.shiftleft(cell, HASH_BITS) + F.col("tie")
 
 
-def _split_points(points: DataFrame, nodes: dict[int, Node]) -> dict[int, tuple[str, int]]:
-    """For each node to split: its widest dimension and the weighted median's key.
+def _small(frame: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A broadcast table of at most MOST_LEAVES rows, one a node."""
+    return F.broadcast(frame.sparkSession.createDataFrame(rows, schema))
+
+
+def _split_points(points: DataFrame, nodes: dict[int, Node]) -> dict[int, tuple[int, int]]:
+    """For each node to split: the number of its widest dimension, and the weighted median's key.
 
     The median is found by histogram refinement: each round groups the weights of the
-    one open cell of every node by its next STEP_BITS bits, in one partial aggregation,
-    and at most 2^STEP_BITS sums a node come to the driver.
+    one open cell of every node by its next bits, in one partial aggregation. The bits of
+    a round are so few that at most 2^SUM_BITS sums come to the driver.
     """
-    ids = [i for i, n in nodes.items() if n.shards > 1]
-    mine = points.where(F.col("node").isin(ids))
+    ids = [(i,) for i, n in nodes.items() if n.shards > 1]
+    mine = points.join(_small(points, ids, "node int"), "node")
     spans = mine.groupBy("node").agg(F.sum("weight").alias("weight"), *[(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS]).collect()
-    widest = {r["node"]: max(DIMENSIONS, key=lambda d: (r[d], -DIMENSIONS.index(d))) for r in spans}
-    want = {r["node"]: r["weight"] * (nodes[r["node"]].shards // 2) / nodes[r["node"]].shards for r in spans}
-    if not widest:
+    if not spans:
         return {}
-    dim = F.lit(0.0)
-    for i, d in widest.items():
-        dim = F.when(F.col("node") == i, F.col(d)).otherwise(dim)
-    keyed = mine.select("node", "weight", _key(dim).alias("key"))
+    widest = {r["node"]: max(range(len(DIMENSIONS)), key=lambda k: (r[DIMENSIONS[k]], -k)) for r in spans}
+    want = {r["node"]: r["weight"] * (nodes[r["node"]].shards // 2) / nodes[r["node"]].shards for r in spans}
+    keyed = mine.join(_small(points, list(widest.items()), "node int, dim int"), "node").select("node", "weight", _key().alias("key"))
     prefix, below, shift = dict.fromkeys(widest, 0), dict.fromkeys(widest, 0), KEY_BITS
+    bits = max(1, min(STEP_BITS, SUM_BITS - len(widest).bit_length()))
     while shift > 0:
-        step = min(STEP_BITS, shift)
-        top, shift = shift, shift - step
-        open_cell = F.lit(False)
-        for i, p in prefix.items():
-            open_cell = open_cell | ((F.col("node") == i) & (F.shiftright("key", top) == p))
-        sums = keyed.where(open_cell).groupBy("node", F.shiftright("key", shift).alias("cell")).agg(F.sum("weight").alias("weight")).collect()
-        for i in widest:
-            cells = sorted((r["cell"], r["weight"]) for r in sums if r["node"] == i)
-            for cell, weight in cells:
-                prefix[i] = cell
+        top, shift = shift, max(0, shift - bits)
+        open_ = keyed.join(_small(points, list(prefix.items()), "node int, prefix long"), "node").where(F.shiftright("key", top) == F.col("prefix"))
+        cells: dict[int, list[tuple[int, int]]] = {}
+        for r in open_.groupBy("node", F.shiftright("key", shift).alias("cell")).agg(F.sum("weight").alias("weight")).collect():
+            cells.setdefault(r["node"], []).append((r["cell"], r["weight"]))
+        for i, mine_ in cells.items():
+            last = 0
+            for cell, weight in sorted(mine_):
+                prefix[i], last = cell, weight
                 if below[i] + weight >= want[i]:
                     break
                 below[i] += weight
-            last = next(w for c, w in cells if c == prefix[i])
+            else:
+                below[i] -= last
             if shift == 0 and abs(below[i] + last - want[i]) < abs(want[i] - below[i]):
                 prefix[i] += 1  # the cell at the median belongs to the lower side
     return {i: (widest[i], prefix[i]) for i in widest}
 
 
+def _descend(frame: DataFrame, cuts: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """frame one level down: rows of a node that was cut move to its left or right child."""
+    at = _small(frame, cuts, "node int, dim int, cut long, low int, high int")
+    to = F.when(F.col("dim").isNull(), F.col("node")).when(_key() < F.col("cut"), F.col("low")).otherwise(F.col("high"))
+    return frame.join(at, "node", "left").withColumn("node", to).drop("dim", "cut", "low", "high")
+
+
 def shard(
     docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None, id_col: str = "doc_id",
     text_col: str = "text", length_col: str = "n_chars", source_col: str = "source", lang_col: str = "lang",
 ) -> DataFrame:
     """Put every document into a shard; the law is `bytes`: shards have near-equal sizes.
 
-    shards: the number of leaves, or None to derive it from target_bytes. Dimensions are
+    shards: the number of leaves (MOST_LEAVES at most), or None to derive it from target_bytes. Dimensions are
     length (logarithmic), source and language, each scaled to [0, 1]. A node splits at
     the weighted median (weight: bytes) along its widest dimension, again and again.
     Equal texts are one point, so they share a shard, unless they weigh more than
@@ -115,6 +128,8 @@ def shard(
     if not total["n"]:
         return rows.select(*_columns(F.lit(0), F.lit(0)))
     leaves = shards if shards is not None else max(1, -(-total["size"] // target_bytes))
+    if leaves > MOST_LEAVES:
+        raise ValueError(f"{leaves} shards are more than {MOST_LEAVES}")
     piece = max(1, int(total["size"] / leaves * PIECE_PART))
     groups = rows.groupBy("same").agg(
         F.sum("size").alias("same_size"), F.min("d_length").alias("g_length"), F.min("d_source").alias("g_source"), F.min("d_lang").alias("g_lang"),
@@ -131,35 +146,24 @@ def shard(
     )
     points = placed.groupBy("tie", *DIMENSIONS).agg(F.sum("size").alias("weight"))
     points = materialize(points, "shard-groups")
-    tree: dict[int, tuple[str, int, int, int]] = {}
-    nodes, fresh = {0: Node(0, leaves)}, 1
-    leaf: dict[int, int] = {}
-
-    def descend(frame: DataFrame) -> DataFrame:
-        """frame with the number of the node or leaf that each point has come to."""
-        def at(i: int) -> Column:
-            if i not in tree:
-                return F.lit(i)
-            d, key, left, right = tree[i]
-            return F.when(_key(F.col(d)) < key, at(left)).otherwise(at(right))
-
-        return frame.withColumn("node", at(0))
-
+    nodes, fresh, leaf = {0: Node(0, leaves)}, 1, {}
+    points, dealt = points.withColumn("node", F.lit(0)), placed.withColumn("node", F.lit(0))
     while any(n.shards > 1 for n in nodes.values()):
-        cuts = _split_points(descend(points), nodes)
-        after: dict[int, Node] = {}
+        found = _split_points(points, nodes)
+        after, cuts = {}, []
         for i, n in nodes.items():
-            if n.shards == 1 or i not in cuts:
+            if i not in found:
                 leaf[i] = n.first
                 continue
             half = n.shards // 2
-            tree[i] = (*cuts[i], fresh, fresh + 1)
+            cuts.append((i, *found[i], fresh, fresh + 1))
             after |= {fresh: Node(n.first, half), fresh + 1: Node(n.first + half, n.shards - half)}
             fresh += 2
         nodes = after
+        if cuts:
+            points, dealt = _descend(points, cuts), _descend(dealt, cuts)
     leaf |= {i: n.first for i, n in nodes.items()}
-    number = F.create_map(*[F.lit(x) for i in leaf for x in (i, leaf[i])])
-    dealt = descend(placed).withColumn("shard", F.element_at(number, F.col("node")).cast("int"))
+    dealt = dealt.join(_small(dealt, list(leaf.items()), "node int, shard int"), "node")
     buckets = max(1, -(-total["n"] // (SLOT_ROWS * leaves)), min(32, total["n"] // 256))
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     sizes = sorted((r["shard"], r["bucket"], r["n"]) for r in dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n")).collect())
