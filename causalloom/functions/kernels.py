@@ -34,6 +34,16 @@ def ncc(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return cc / norm if norm else np.zeros(2 * n - 1)
 
 
+def ncc_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """ncc() of each row of x with the same row of y, by transforms of whole matrices."""
+    m, n = x.shape
+    size = 1 << (2 * n - 1).bit_length()
+    cc = np.fft.irfft(np.fft.rfft(x, size, axis=1) * np.conj(np.fft.rfft(y, size, axis=1)), size, axis=1)
+    cc = np.concatenate([cc[:, size - n + 1 :], cc[:, :n]], 1) if n > 1 else cc[:, :1]
+    norm = (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))[:, None]
+    return np.divide(cc, norm, out=np.zeros((m, 2 * n - 1)), where=norm > 0)
+
+
 def sbd(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     """Shape-based distance 1 - max NCC, and y moved to where it fits x best."""
     c = ncc(np.asarray(x, float), np.asarray(y, float))

@@ -42,6 +42,15 @@ def with_sbd(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return rows.withColumns({"ncc": top, "sbd": 1 - top, "lag": (F.size(x) - F.array_position("__c", top)).cast("int")}).drop("__c")
 
 
+#: Numbers of one matrix that is transformed at a time.
+CELLS = 1 << 20
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and the length of each list (0 for null)."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float), np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
 def with_sbd_long(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """The same by fast Fourier transforms in Arrow batches: O(n log n), for series of thousands of points."""
     from pyspark.sql import types as T
@@ -50,13 +59,19 @@ def with_sbd_long(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            top, at = [], []
-            for p, q in zip(b.column(x).to_pylist(), b.column(y).to_pylist(), strict=True):
-                c = kernels.ncc(np.array(p, float), np.array(q, float))
-                top.append(float(c.max()))
-                at.append(len(p) - 1 - int(np.argmax(c)))
-            cols = [pa.array(top), pa.array([1 - t for t in top]), pa.array(at, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "ncc", "sbd", "lag"])
+            (p, n), (q, k) = _flat(b.column(x)), _flat(b.column(y))
+            if (n != k).any():
+                raise ValueError("series of a pair must have one length")
+            start, top, lag = np.cumsum(n) - n, np.zeros(b.num_rows), np.zeros(b.num_rows, np.int32)
+            for length in np.unique(n[n > 0]):
+                rows = np.flatnonzero(n == length)
+                step = max(1, CELLS // int(length))
+                for lo in range(0, len(rows), step):
+                    part = rows[lo : lo + step]
+                    at = start[part][:, None] + np.arange(length)
+                    c = kernels.ncc_rows(p[at], q[at])
+                    top[part], lag[part] = c.max(1), length - 1 - c.argmax(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(top), pa.array(1 - top), pa.array(lag)], [*b.schema.names, "ncc", "sbd", "lag"])
 
     return pairs.mapInArrow(run, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from causalloom.functions.runtime import materialize
@@ -155,25 +155,24 @@ def pagerank(arcs: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.8
     out = arcs.select(F.col("src").alias("node")).distinct().withColumn("has_out", F.lit(True))
     first = F.lit(start) if start is not None else F.lit(ends.agg(F.min("node")).first()[0])
     state = ends.join(out, "node", "left").select("node", F.coalesce("has_out", F.lit(False)).alias("has_out"), F.when(F.col("node") == first, 1.0).otherwise(0.0).alias("rank"))
-    arcs, state = materialize(arcs, "arcs"), materialize(state, "ranks")
-    n = state.count()
+    def written(df: DataFrame) -> tuple[DataFrame, dict]:
+        """df as a table, and its sums, taken while it was written: a round is one job."""
+        seen, dead = Observation(), F.when(~F.col("has_out"), F.col("rank"))
+        sums = [F.count("*").alias("n"), F.sum("rank").alias("total"), F.sum(dead).alias("dead"), F.sum(F.abs(F.col("rank") - F.col("prev"))).alias("change")]
+        return materialize(df.observe(seen, *sums), "ranks"), seen.get
+
+    arcs = materialize(arcs, "arcs")
+    state, sums = written(state.withColumn("prev", F.lit(None).cast("double")))
+    n, done = sums["n"], 0
     if not n:
         return state.select("node", "rank", F.lit(0).alias("iterations"))
-    done, change, i = 0, None, 0
-    last = iterations if iterations is not None else most
-    while i < last:
-        total = state.agg(F.sum("rank"), F.sum(F.when(~F.col("has_out"), F.col("rank")))).first()
-        scale = 1.0 if i == 0 else total[0]
-        dangling = (total[1] or 0.0)
-        prev = state.withColumn("prev", F.col("rank") / F.lit(scale))
+    while done < (iterations if iterations is not None else most):
+        scale = 1.0 if done == 0 else sums["total"]
+        prev = state.select("node", "has_out", (F.col("rank") / F.lit(scale)).alias("prev"))
         got = arcs.join(prev.select(F.col("node").alias("src"), "prev"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("prev")).alias("g"))
-        rank = alpha * F.coalesce("g", F.lit(0.0)) + F.lit(alpha * dangling / n + (1 - alpha) / n)
-        state = prev.join(got, "node", "left").select("node", "has_out", rank.alias("rank"), "prev")
-        i += 1
-        state = materialize(state, "ranks")
-        done = i
-        if iterations is None:
-            change = state.agg(F.sum(F.abs(F.col("rank") - F.col("prev")))).first()[0]
-            if change <= tolerance:
-                break
+        rank = alpha * F.coalesce("g", F.lit(0.0)) + F.lit(alpha * (sums["dead"] or 0.0) / n + (1 - alpha) / n)
+        state, sums = written(prev.join(got, "node", "left").select("node", "has_out", rank.alias("rank"), "prev"))
+        done += 1
+        if iterations is None and sums["change"] <= tolerance:
+            break
     return state.select("node", "rank", F.lit(done).alias("iterations"))
