@@ -42,8 +42,11 @@ def _key() -> Column:
 
 
 def _small(frame: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """A broadcast table of at most MOST_LEAVES rows, one a node."""
-    return F.broadcast(frame.sparkSession.createDataFrame(rows, schema))
+    """A broadcast table of few integer rows (nodes, or slot buckets), made in the engine from one literal."""
+    columns = [c.split() for c in schema.split(", ")]
+    text = ";".join(",".join(map(str, r)) for r in rows)
+    one = frame.sparkSession.range(0, 1, 1, 1).select(F.explode(F.split(F.lit(text), ";")).alias("row"))
+    return F.broadcast(one.select(*[F.get(F.split("row", ","), F.lit(k)).cast(kind).alias(name) for k, (name, kind) in enumerate(columns)]))
 
 
 def _split_points(points: DataFrame, nodes: dict[int, Node]) -> dict[int, tuple[int, int]]:
@@ -171,7 +174,7 @@ def shard(
     for s, b, n in sizes:
         starts.append((s, b, at.get(s, 0)))
         at[s] = at.get(s, 0) + n
-    offsets = dealt.sparkSession.createDataFrame(starts, "shard int, bucket int, start long")
+    offsets = _small(dealt, starts, "shard int, bucket int, start long")
     from pyspark.sql import Window
 
     order = Window.partitionBy("shard", "bucket").orderBy("row")
