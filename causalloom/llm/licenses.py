@@ -1,4 +1,4 @@
-"""License scans by a positional index of rare words."""
+"""License scans by a positional index: rare words of phrases first, then all words of the templates."""
 
 from __future__ import annotations
 
@@ -38,11 +38,9 @@ TEMPLATES = [
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4"]),
 ]
 
-#: A word counts as rare from this part of the highest IDF on.
-RARE_PART = 0.5
 #: A word may stand this many places off its template's position.
 SLACK = 2
-#: Least part of a template's IDF that a file must have at the right places.
+#: Least part of a template's words, or of their IDF, that a file must have at the right places.
 LEAST_SCORE = 0.6
 
 #: Bytes of UTF-8 to bytes of words: A-Z in lower case, what is no word byte a space.
@@ -68,65 +66,81 @@ def places(joined: bytes, phrase: bytes) -> list[int]:
 
 
 class Index:
-    """Postings of the templates' rare words: word -> [(template, place)]."""
+    """The rarest word of each phrase -> templates, and for each template its words -> places."""
 
     def __init__(self, templates, idf: dict[bytes, float]):
         self.templates = [(label, words(text), [b" ".join(words(p)) for p in phrases]) for label, text, phrases in templates]
-        top = max(idf.values(), default=0.0)
         self.idf = idf
-        self.rare = {w for w, x in idf.items() if x >= RARE_PART * top and x > 0}
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        self.rarest = [{max(p.split(), key=lambda w: (idf.get(w, 0.0), w), default=b"") for p in phrases} for _, _, phrases in self.templates]
+        self.rare = set().union(*self.rarest)
+        self.postings: list[dict[bytes, list[int]]] = []
         self.weight = []
-        for t, (_, ws, _) in enumerate(self.templates):
+        for _, ws, _ in self.templates:
             self.weight.append(sum(idf[w] for w in ws))
-            for i, w in enumerate(ws):
-                if w in self.rare:
-                    self.postings.setdefault(w, []).append((t, i))
+            self.postings.append({})
+            for q, w in enumerate(ws):
+                self.postings[-1].setdefault(w, []).append(q)
 
     def scan(self, ws: list[bytes], joined: bytes) -> tuple[set[str], float]:
         """Labels of the templates that stand in the file, and the best alignment's score.
 
-        Occurrences of rare words are intersected with the postings by relative place:
-        each gives the place where its template would start. Starts within SLACK that two
-        rare words of the template agree on (or all, if it has fewer) are aligned word by
-        word; then the template's phrases are looked up in the aligned stretch.
+        A template's phrases must all stand in the file, so templates of which a phrase's
+        rarest word is missing are passed over: this loses none, however common the words
+        are. Around a phrase, every word of the template gives by its relative place where
+        the template would start. Starts within SLACK that two words agree on (or one, if
+        the template has no more) are aligned word by word; then the template's phrases
+        are looked up in the aligned stretch. The score is the part of the template's IDF
+        or of its words at the right places, whichever is higher.
         """
-        if self.rare.isdisjoint(ws):
-            return set(), 0.0
-        starts: dict[int, dict[int, set[bytes]]] = {}
-        for i, w in enumerate(ws):
-            if w in self.rare:
-                for t, q in self.postings[w]:
-                    starts.setdefault(t, {}).setdefault(i - q, set()).add(w)
+        found = self.rare.intersection(ws)
         labels, best = set(), 0.0
-        for t, votes in starts.items():
-            label, own, phrases = self.templates[t]
-            need = min(2, len({w for w in own if w in self.rare}))
+        for t, (label, own, phrases) in enumerate(self.templates):
+            if not own or not self.rarest[t] <= found or not all(b" " + p + b" " in joined for p in phrases):
+                continue
+            votes = self._votes(t, ws, joined)
+            need = min(2, len(self.postings[t]))
             done = None
             for s in sorted(votes):
                 if done is not None and s <= done + SLACK:
                     continue  # the same stretch again
-                agree = set().union(*(votes.get(s + d, ()) for d in range(SLACK + 1)))
-                if len(agree) < need:
+                if len({own[q] for d in range(SLACK + 1) for q in votes.get(s + d, ())}) < need:
                     continue
-                got = sum(self.idf[w] for q, w in enumerate(own) if w in ws[max(0, s + q - SLACK) : max(0, s + q + 2 * SLACK + 1)])
-                score = got / self.weight[t] if self.weight[t] else 0.0
+                hits = sorted(set().union(*(votes.get(s + d, ()) for d in range(-SLACK, 2 * SLACK + 1))))
+                score = len(hits) / len(own)
+                if self.weight[t]:
+                    score = max(score, sum(self.idf[own[q]] for q in hits) / self.weight[t])
                 if score < LEAST_SCORE:
                     continue
-                lo, hi = max(0, s - 2 * SLACK), s + len(own) + 3 * SLACK
+                lo, hi = max(0, s - 2 * SLACK), max(0, s + len(own) + 3 * SLACK)
                 stretch = b" " + b" ".join(ws[lo:hi]) + b" "
                 if all(b" " + p + b" " in stretch for p in phrases):
                     labels.add(label)
                     best, done = max(best, score), s
         return labels, min(1.0, best)
 
+    def _votes(self, t: int, ws: list[bytes], joined: bytes) -> dict[int, set[int]]:
+        """Starts of template t -> the template's places that speak for them, around each place of its first phrase (or in the whole file, if it has none)."""
+        _, own, phrases = self.templates[t]
+        reach = len(own) + 8 * SLACK
+        ranges = [(p - reach, p + reach + 1) for p in places(joined, phrases[0])] if phrases else [(0, len(ws))]
+        votes: dict[int, set[int]] = {}
+        upto = 0
+        for lo, hi in ranges:
+            for i in range(max(lo, upto), min(hi, len(ws))):
+                for q in self.postings[t].get(ws[i], ()):
+                    votes.setdefault(i - q, set()).add(q)
+            upto = max(upto, hi)
+        return votes
+
 
 def scan_licenses(docs: DataFrame, templates=None, base: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licences named in every whole text.
 
     A first pass counts in how many documents each word of the templates stands (as many
     sums as the templates have words); this gives the IDF over all documents. The second
-    pass looks up each file's rare template words, aligns templates and verifies phrases.
+    pass looks up the rarest word of each phrase, aligns templates and verifies phrases.
+    An alignment counts at LEAST_SCORE of a template's IDF or of its words, so a file that
+    has that part of the words keeps its label however large or uniform the table is.
 
     Returns doc_id, n_words, n_base (places of all base phrases), first_word, last_word
     (smallest and largest start, words from 0; null if none), base_labels, labels (base

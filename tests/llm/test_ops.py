@@ -425,6 +425,19 @@ def test_licenses(spark):
     assert all(got[i].labels == "" for i in range(n)) and scan_licenses(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_frequent_licenses(spark):
+    from causalloom.llm.licenses import TEMPLATES, scan_licenses
+
+    n, every = 51_000, F.concat_ws("\n", F.lit("file"), F.col("id").cast("string"))
+    for label, notice, _ in (TEMPLATES[6], TEMPLATES[4], ("gpl-3", TEMPLATES[6][1].replace("licensed", "licenced"), None)):
+        d = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat_ws(" ", every, F.lit(notice))).otherwise(every).alias("text"))
+        got = {(r.hot, r.labels): r["count"] for r in scan_licenses(d).groupBy((F.col("doc_id") % 3 == 0).alias("hot"), "labels").count().collect()}
+        assert got == {(True, label): n // 3, (False, ""): n - n // 3}
+    for label, notice, _ in TEMPLATES:
+        alone = scan_licenses(docs(spark, [f"one file {notice} and more"])).first()
+        assert label in alone.labels.split(",") and alone.score == 1
+
+
 # 9: sharding
 
 
