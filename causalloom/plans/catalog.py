@@ -621,6 +621,13 @@ def zero_pad_roll(spark, d):
     return e.select("vec_id", "k", F.array_join(rolled, ",").alias("rolled"))
 
 
+@query("SELECT vec_id, k::INT AS k, list_aggregate(list_transform(range(1, len(embedding) + 1), lambda i: (CASE WHEN i - k BETWEEN 1 AND len(embedding) THEN round(embedding[i - k]::DOUBLE, 4) ELSE 0 END)::DECIMAL(9, 4)::VARCHAR), 'string_agg', ',') AS rolled FROM (SELECT vec_id, embedding, unnest([-3, 2, 65]) AS k FROM embeddings)")
+def zero_pad_roll_whole(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.explode(F.array(F.lit(-3), F.lit(2), F.lit(65))).alias("k"))
+    rolled = F.transform(distance.shifted(F.col("x"), F.col("k")), lambda v: F.round(v, 4).cast("decimal(9,4)").cast("string"))
+    return e.select("vec_id", "k", F.array_join(rolled, ",").alias("rolled"))
+
+
 SCORES = "s AS (SELECT c_mktsegment AS service, 2 + (c_custkey % 6)::INT AS k, round(avg(c_acctbal) / 10000, 3) AS silhouette FROM customer GROUP BY ALL)"
 
 

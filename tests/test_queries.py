@@ -34,6 +34,16 @@ def test_query(spark, db, sf_dir, name):
         assert len(got.columns)
 
 
+def test_whole_vectors_roll(spark, sf_dir):
+    sizes = {r.vec_id: len(r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    got = catalog.QUERIES["zero_pad_roll_whole"](spark, sf_dir).collect()
+    assert len(got) == 3 * len(sizes)
+    for r in got:
+        parts = r.rolled.split(",")
+        assert len(parts) == sizes[r.vec_id]
+        assert any(float(x) for x in parts) == (abs(r.k) < len(parts))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
