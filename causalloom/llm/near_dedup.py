@@ -43,9 +43,10 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[str]:
 def frequent_shingles(texts: DataFrame, rare: float = IDF_RARE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles in over `rare` of all documents, and the parts they are in.
 
-    Every document is counted, COUNT_DOCS at a time; a block sends the shingles that stand
-    in COUNT_PART of it at least (and twice), so a sum falls short by that part at most.
-    At most (mean shingles of a document / rare) rows reach the driver, whatever the input.
+    Every document is counted, COUNT_DOCS at a time; a block, or what is left at the end of
+    a partition, sends the shingles that stand in COUNT_PART of it at least. So a sum falls
+    short by that part at most, however the table is partitioned; blocks of up to
+    1 / COUNT_PART documents send all. At most (mean shingles of a document / rare) rows reach the driver, whatever the input.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +54,7 @@ def frequent_shingles(texts: DataFrame, rare: float = IDF_RARE) -> tuple[np.ndar
 
         def block() -> pa.RecordBatch:
             h, n = counted(np.concatenate(held)) if held else (np.empty(0, np.uint64), np.empty(0))
-            keep = n >= max(2, COUNT_PART * docs)
+            keep = n >= COUNT_PART * docs
             return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
 
         for batch in batches:

@@ -336,6 +336,16 @@ def test_components(spark):
     assert {got[i] for i in range(1, 21)} == {1} and {got[i] for i in range(21, 41)} == {21} and got[100] == 90
 
 
+def test_shingle_counts_ignore_partitions(spark):
+    from causalloom.llm.near_dedup import _word_hash, frequent_shingles
+
+    rows = [(f"only {i} stands in this text {i}" + (" one shared run of words" if i % 60 == 7 else ""),) for i in range(600)]
+    want = {int(h) for h in _word_hash().shingles("one shared run of words")}
+    for parts in (1, 10):
+        h, part = frequent_shingles(spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "text string"))
+        assert {int(x): p for x, p in zip(h, part, strict=True) if int(x) in want} == dict.fromkeys(want, 10 / 600)
+
+
 # 6: quality
 
 
