@@ -288,7 +288,7 @@ def preferred_k(spark, d):
 
 
 def kshaped(spark, d):
-    return clustering.kshape(clustering.start_labels(short_series(spark, d), [2, 3]))
+    return clustering.kshape(clustering.start_labels(short_series(spark, d), list(range(2, 7))))
 
 
 @query()
@@ -312,7 +312,7 @@ def warm_start(spark, d):
 
 @query()
 def gap_statistic(spark, d):
-    return clustering.gap_statistic(short_series(spark, d), [2, 3], references=5).select("service", "k", r("gap"))
+    return clustering.gap_statistic(short_series(spark, d), list(range(2, 7))).select("service", "k", r("gap"))
 
 
 # --- causality --------------------------------------------------------------------

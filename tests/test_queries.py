@@ -44,6 +44,13 @@ def test_whole_vectors_roll(spark, sf_dir):
         assert any(float(x) for x in parts) == (abs(r.k) < len(parts))
 
 
+@pytest.mark.parametrize("name", ["kshape_assign", "centroid_lag", "gap_statistic"])
+def test_all_ks(spark, sf_dir, name):
+    rows = catalog.QUERIES[name](spark, sf_dir).select("service", "k").distinct().collect()
+    services = {r.service for r in rows}
+    assert services and {tuple(r) for r in rows} == {(s, k) for s in services for k in range(2, 7)}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
