@@ -98,11 +98,11 @@ def _select(q: Queries, k: int):
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """Distinct (vec_id, v): components as floor(scale * x); vectors with null or non-finite parts are left out."""
+    """(vec_id, v) of every row: components as floor(scale * x); vectors with null or non-finite parts are left out."""
     v = F.col(vector_col).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.where(v.isNotNull() & F.col(id_col).isNotNull()).where(F.coalesce(sound, F.lit(False)))
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v")).distinct()
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
 def top_k(
@@ -118,15 +118,15 @@ def top_k(
     and their own k best, never more.
 
     Returns query_id, rank (from 1), vec_id, score. Null ids, and vectors that are null or
-    hold a null or a non-finite component, take no part. Rows equal in id and vector count
-    once; a row never matches its own id; vectors of another length don't match. A query
+    hold a null or a non-finite component, take no part. Repeated rows are candidates as often
+    as they come, but ask once; a row never matches its own id; vectors of another length don't match. A query
     with fewer than k candidates gets them all. Scores must fit 64 bits. An empty table
     gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score long"
     rows = materialize(integer_vectors(vectors, id_col, vector_col), "vectors")
-    queries = rows.where(F.col("vec_id") % 50 == 0 if is_query is None else is_query)
+    queries = rows.where(F.col("vec_id") % 50 == 0 if is_query is None else is_query).distinct()
     square = F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
     longest = math.sqrt(rows.agg(F.max(square)).first()[0] or 0.0)
     n = queries.count()

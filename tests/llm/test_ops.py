@@ -410,6 +410,14 @@ def test_top_k(spark):
     assert [tuple(r) for r in top_k(few, 5).collect()] == [(0, 1, 1, 256 * 512)]
 
 
+def test_top_k_repeated_candidates(spark):
+    from causalloom.llm.topk import top_k
+
+    rows = [(0, [1.0]), (1, [3.0]), (1, [3.0]), (2, [2.0]), (2, [2.001]), (3, [1.0])]
+    got = [tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5).orderBy("rank").collect()]
+    assert got == [(0, k + 1, i, 256 * 256 * x) for k, (i, x) in enumerate([(1, 3), (1, 3), (2, 2), (2, 2), (3, 1)])]
+
+
 # 8: licences
 
 
