@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from causalloom.functions.runtime import materialize, shared_dir, visible
 
-__all__ = ["let", "materialize", "shared_dir", "table"]
+__all__ = ["let", "materialize", "meet", "shared_dir", "table"]
+
+#: A key with over 1 / HOT_PARTS of a table's rows is hot; there are at most HOT_PARTS of these.
+HOT_PARTS = 10_000
 
 
 def let(value: Column, body) -> Column:
@@ -18,3 +21,16 @@ def let(value: Column, body) -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     visible(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def meet(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to keyed on key, where no key's rows gather in one task.
+
+    keyed has one row a key, and in column n the number of that key's rows; total is the
+    number of rows. The keyed rows of hot keys, HOT_PARTS at most whatever the input, are
+    broadcast, so these rows stay where they are; all others are shuffled by key.
+    """
+    least = total / HOT_PARTS
+    hot = F.broadcast(keyed.where(F.col("n") > least))
+    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col("n") <= least), key)
+    return rows.join(hot, key).unionByName(cold)

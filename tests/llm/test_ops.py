@@ -41,34 +41,45 @@ def real(spark, sf_dir):
 # 1: line dedup
 
 
-def cut(text):
-    lines = text.split("\n")
+def cut(lines, repeated):
+    """Chunks (first, last) of lines that may go, walked line by line."""
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % (1 << 31) for x in lines]
-    long = [x.count(" ") >= 50 for x in lines]
-    out, at = [], 0
-    for i in range(len(lines)):
-        roll = ((h[i - 1] if i else 0) * 31 + h[i]) % (1 << 31)
-        if i == len(lines) - 1 or roll % 4 == 0 or long[i] or long[i + 1]:
-            part = lines[at : i + 1]
-            out.append(("\n".join(part), sum(bool(x.strip(" \t\r")) for x in part) >= 2 or long[i]))
+    blank = [not x.strip(" \t\r") for x in lines]
+    flag = [b or x in repeated for x, b in zip(lines, blank, strict=True)]
+    flag = [f and (not blank[i] or 0 < i < len(lines) - 1 and flag[i - 1] and flag[i + 1]) for i, f in enumerate(flag)]
+    runs, at = [], 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or not flag[i]:
+            runs += [range(at, i)] if i > at else []
             at = i + 1
+    out = []
+    for run in runs:
+        hit = [k > 0 and (h[i - 1] * 31 + h[i]) % (1 << 31) % 2 == 0 for k, i in enumerate(run)]
+        first = run[0]
+        for k, i in enumerate(run):
+            if k == len(run) - 1 or hit[k] and k < len(run) - 2 and not hit[k - 1]:
+                part = range(first, i + 1)
+                if sum(not blank[j] for j in part) >= 2 or len(re.findall(r"[^ \t\r]+", lines[first])) > 50:
+                    out.append((first, i))
+                first = i + 1
     return out
 
 
 def brute_lines(rows):
+    count = Counter(x for _, t in rows if t is not None for x in t.split("\n"))
+    repeated = {x for x, n in count.items() if n > 1}
     seen, out = set(), {}
     for i, t in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0)):
         if t is None:
             out[i] = None
             continue
-        left = []
-        for c, removable in cut(t):
-            if removable and c in seen:
-                continue
-            if removable:
-                seen.add(c)
-            left.append(c)
-        out[i] = "\n".join(left)
+        lines = t.split("\n")
+        gone = set()
+        for a, b in cut(lines, repeated):
+            chunk = "\n".join(lines[a : b + 1])
+            gone |= set(range(a, b + 1)) if chunk in seen else set()
+            seen.add(chunk)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
 
@@ -77,6 +88,7 @@ def test_line_dedup(spark):
 
     shared, passage = prose(1, 120), " ".join(WORDS[:60])
     texts = [prose(i, 100) + "\n" + shared + "\n" + prose(50 + i, 90) for i in range(6)] + [f"first {i}\n{passage}\nlast {i}" for i in range(4)] + ODD
+    texts += ["a line\n\nof two\n \n\nand three\n", "a line\n\nof two\n \n\nand three\n\nmore", "\n\na line\n\nof two\n", "same\n" * 30, shared + "\n" + shared]
     d = docs(spark, texts)
     got = {r.doc_id: r.text for r in dedup_lines(d).collect()}
     assert got == brute_lines(list(enumerate(texts)))
@@ -89,10 +101,31 @@ def test_line_dedup(spark):
     assert dedup_lines(docs(spark, [shared, None], [None, None])).count() == 2
 
 
-def test_line_boundaries_resist_shifts():
-    body = prose(3, 400)
-    a, b = {c for c, _ in cut(body)}, {c for c, _ in cut("one more line\n" + body)}
-    assert len(a & b) >= len(a) - 2
+def test_line_chunks_resist_shifts():
+    body = prose(3, 400).split("\n")
+    a, b = ({"\n".join(x[i : j + 1]) for i, j in cut(x, set(body))} for x in (body, ["one more line", *body]))
+    assert len(a & b) >= len(a) - 1
+
+
+def test_passages_of_few_lines_go_whole(spark):
+    from causalloom.llm.line_dedup import dedup_lines
+
+    texts, passages = [], []
+    for k, (lines, words) in enumerate([(2, 30), (3, 20), (4, 15), (6, 10), (10, 12), (1, 60), (1, 51)]):
+        p = prose(700 + k, lines * words, words)
+        passages.append(p)
+        for copy in range(3):
+            i = 10 * k + copy
+            texts.append(f"{prose(2000 + i, 40, 9)} {i}\nbefore {i}\n{p.replace(' ', '  ', copy // 9)}\n\nafter {i}\n{prose(3000 + i, 30, 7)} {i}")
+    short = prose(799, 50, 50)
+    texts += [f"head {i}\n{short}\ntail {i}" for i in range(3)]
+    got = {r.doc_id: r.text for r in dedup_lines(docs(spark, texts)).collect()}
+    for k, p in enumerate(passages):
+        assert p in got[3 * k] and all(x not in got[3 * k + c] for c in (1, 2) for x in p.split("\n"))
+        assert all(f"before {10 * k + c}\n" in got[3 * k + c] and f"after {10 * k + c}\n" in got[3 * k + c] for c in range(3))
+    assert all(short in got[21 + i] for i in range(3))
+    only_lines = {r.doc_id: r.text for r in dedup_lines(docs(spark, texts), passage_words=None).collect()}
+    assert passages[5] in only_lines[16] and passages[1].split("\n")[0] not in only_lines[4]
 
 
 # 2: HTML
