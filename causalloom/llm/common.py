@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causalloom.functions.runtime import materialize, shared_dir, visible
 
-__all__ = ["let", "materialize", "meet", "shared_dir", "table"]
+__all__ = ["let", "materialize", "meet", "salted", "shared_dir", "table"]
 
 #: A key with over 1 / HOT_PARTS of a table's rows is hot; there are at most HOT_PARTS of these.
 HOT_PARTS = 10_000
@@ -34,3 +34,17 @@ def meet(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
     hot = F.broadcast(keyed.where(F.col("n") > least))
     cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col("n") <= least), key)
     return rows.join(hot, key).unionByName(cold)
+
+
+def salted(rows: DataFrame, wide: DataFrame, key: str, total: int, by: str) -> DataFrame:
+    """rows joined to wide (one row a key, of any size), hot keys cut into pieces by a hash of `by`.
+
+    A key with over total / HOT_PARTS of the rows is dealt to pieces of about that many, and
+    its wide row is copied to each: 2 * HOT_PARTS copies at most, whatever the input.
+    """
+    least = max(total / HOT_PARTS, 64.0)
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > least)
+    hot = F.broadcast(materialize(hot.select(key, F.ceil(F.col("__n") / least).cast("int").alias("__pieces")), "hot-keys"))
+    left = rows.join(hot, key, "left").withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(by, F.lit(1)), "__pieces"), F.lit(0)).cast("int"))
+    right = wide.join(hot, key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1)))
+    return left.drop("__pieces").join(right.drop("__pieces"), [key, "__piece"]).drop("__piece")

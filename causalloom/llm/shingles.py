@@ -38,17 +38,17 @@ class WordHash:
         return h
 
     def shingles(self, text: str) -> np.ndarray:
-        """Hashes of all runs of WORDS words, in order; a shorter text is one run; no words, none."""
+        """32-bit hashes of all runs of WORDS words, in order; a shorter text is one run; no words, none."""
         words = text.split()
         n = len(words)
         if not n:
-            return np.empty(0, U64)
+            return np.empty(0, np.uint32)
         h = np.fromiter(map(self.known.__getitem__, words), U64, n)
         k = min(WORDS, n)
         out = np.zeros(n - k + 1, U64)
         for i in range(k):
             out = mix(out * M3 + h[i : n - k + 1 + i])
-        return out
+        return (out >> U64(32)).astype(np.uint32)
 
 
 def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,27 +58,42 @@ def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], np.diff(np.append(at, len(h))).astype(np.float32)
 
 
+def packed(h: np.ndarray, tf: np.ndarray) -> tuple[bytes, bytes]:
+    """A set as bytes: its hashes, and (place, count) of those that stand more than once."""
+    many = np.flatnonzero(tf != 1)
+    return h.astype("<u4").tobytes(), np.stack([many, tf[many]], 1).astype("<u4").tobytes()
+
+
+def unpacked(h: bytes, many: bytes) -> tuple[np.ndarray, np.ndarray]:
+    out = np.frombuffer(h, "<u4")
+    tf = np.ones(len(out), np.float32)
+    if many:
+        at = np.frombuffer(many, "<u4").reshape(-1, 2)
+        tf[at[:, 0]] = at[:, 1]
+    return out, tf
+
+
 class Idf:
-    """Inverse document frequency: 1 for shingles in up to `rare` of all documents, less for frequent ones.
+    """Smoothed logarithmic inverse document frequency: (1 + log(1 / p) / log(1 / rare)) / 2, p being rare at least.
 
-    The logarithm is scaled to run from `floor` (in every document) to 1 (in a part `rare`),
-    so that boilerplate counts less, while an edit's one-off shingles never outweigh the
-    text that a large group shares by more than 1 / floor.
+    So it falls from 1, for shingles in up to `rare` of all documents, to 1/2 for one that
+    stands in all of them. Only the shingles over `rare` need a table, and its size does not
+    grow with the documents. The 1 is the smoothing: without it the one-off shingles of an
+    edit would outweigh all the text that a large group of copies shares.
     """
 
-    def __init__(self, hashes: np.ndarray, parts: np.ndarray, rare: float, floor: float):
+    def __init__(self, hashes: np.ndarray, parts: np.ndarray, rare: float):
         order = np.argsort(hashes)
-        self.h = hashes[order]
-        scale = np.minimum(1.0, np.log(1 / np.clip(parts[order], 1e-12, 1.0)) / np.log(1 / rare))
-        self.w = (floor + (1 - floor) * scale).astype(np.float32)
+        self.h = hashes[order].astype(np.uint32)
+        self.w = ((1 + np.log(np.clip(parts[order], rare, 1.0)) / np.log(rare)) / 2).astype(np.float32)
         #: One bit for each hash value modulo 2^16: most shingles are told apart by it.
         self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(self.h & U64(0xFFFF)).astype(np.int64)] = True
+        self.maybe[self.h & 0xFFFF] = True
 
     def weights(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
         out = tf.copy()
         if len(self.h):
-            at = np.flatnonzero(self.maybe[(h & U64(0xFFFF)).astype(np.int64)])
+            at = np.flatnonzero(self.maybe[h & 0xFFFF])
             pos = np.minimum(np.searchsorted(self.h, h[at]), len(self.h) - 1)
             hit = self.h[pos] == h[at]
             out[at[hit]] *= self.w[pos[hit]]
@@ -115,7 +130,7 @@ class ConsistentSampler:
     def band_hashes(self, h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(sets, bands) hashes; set i has elements starts[i] up to starts[i + 1] (none is empty)."""
         r_of, c_of = tables()
-        n = len(starts)
+        n, h = len(starts), h.astype(U64)
         segment = np.repeat(np.arange(n), np.diff(np.append(starts, len(h))))
         odd = np.flatnonzero(w != 1)
         lnw = np.log(w[odd])
@@ -154,11 +169,6 @@ def weighted_jaccard(a: Weighted, b: Weighted) -> float:
     return low / (total - low) if total > low else 1.0
 
 
-def similarity(a: Weighted, b: Weighted) -> float:
-    """Weighted Jaccard similarity; the same with all weights 1 counts if it is higher, so that no weight hides a copy."""
-    return max(weighted_jaccard(a, b), weighted_jaccard((a[0], np.ones(len(a[0]))), (b[0], np.ones(len(b[0])))))
-
-
 class Block:
     """Weighted sets whose similarities to another set are found all at once."""
 
@@ -169,16 +179,13 @@ class Block:
         self.owner = np.repeat(np.arange(self.n), [len(x) for x, _ in sets])[order]
         self.w = np.concatenate([w for _, w in sets]).astype(np.float64)[order]
         self.total = np.bincount(self.owner, self.w, minlength=self.n)
-        self.size = np.bincount(self.owner, minlength=self.n)
 
     def similarities(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """similarity() of (h, w) with every set of the block."""
+        """weighted_jaccard() of (h, w) with every set of the block."""
         lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
         times = hi - lo
         at = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
         owner = self.owner[at]
         low = np.bincount(owner, np.minimum(self.w[at], np.repeat(w.astype(np.float64), times)), minlength=self.n)
-        common = np.bincount(owner, minlength=self.n)
         both = self.total + float(w.astype(np.float64).sum())
-        weighted = np.divide(low, both - low, out=np.ones(self.n), where=both > low)
-        return np.maximum(weighted, common / np.maximum(1, self.size + len(h) - common))
+        return np.divide(low, both - low, out=np.ones(self.n), where=both > low)

@@ -304,11 +304,6 @@ def test_sum_of_squares_choice():
 # 4: near-duplicates
 
 
-def shingle_set(text):
-    w = (text or "").split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
 def test_near_duplicates(spark):
     from causalloom.llm.near_dedup import keep_representatives, near_duplicates
 
@@ -327,21 +322,7 @@ def test_near_duplicates(spark):
     texts = base + near + group + far + [base[0], base[0]] + ODD
     d = docs(spark, texts)
     got = {r.doc_id: r.class_id for r in near_duplicates(d).collect()}
-    sets = [shingle_set(t) for t in texts]
-    parent = list(range(len(texts)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(texts)):
-        for b in range(a):
-            same = (texts[a] or "") == (texts[b] or "")
-            if same or sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    assert got == {i: find(i) for i in range(len(texts))}
+    assert got == grouped(texts, weighted_links(texts))
     kept = keep_representatives(d)
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
     assert near_duplicates(d.limit(0)).count() == 0 and keep_representatives(d.limit(0)).count() == 0
@@ -350,15 +331,58 @@ def test_near_duplicates(spark):
 
 
 def test_samples_estimate_weighted_jaccard():
-    from causalloom.llm.shingles import Block, ConsistentSampler, similarity, weighted_jaccard
+    from causalloom.llm.shingles import Block, ConsistentSampler, packed, unpacked, weighted_jaccard
 
     rng = np.random.default_rng(8)
-    h = np.sort(rng.integers(1, 1 << 62, size=300).astype(np.uint64))
+    h = np.sort(rng.choice(1 << 32, size=300, replace=False)).astype(np.uint32)
     a, b = (h[:250], rng.choice([0.8, 1, 2, 3], 250).astype(np.float32)), (h[50:], rng.choice([0.8, 1, 2, 3], 250).astype(np.float32))
     s = ConsistentSampler(600, 1)
     x = s.band_hashes(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.array([0, 250]))
     assert abs((x[0] == x[1]).mean() - weighted_jaccard(a, b)) < 0.07
-    assert np.allclose(Block([a, b]).similarities(*a), [1, similarity(a, b)])
+    assert np.allclose(Block([a, b]).similarities(*a), [1, weighted_jaccard(a, b)])
+    tf = rng.integers(1, 4, size=250).astype(np.float32)
+    back = unpacked(*packed(h[:250], tf))
+    assert (back[0] == h[:250]).all() and (back[1] == tf).all() and len(unpacked(*packed(h[:0], tf[:0]))[0]) == 0
+
+
+def weighted_links(texts, threshold=0.8):
+    """Brute force: all pairs of different texts by weighted Jaccard of TF times smoothed IDF, counted in plain Python."""
+    from math import log
+
+    bags = [Counter(tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))) if (w := (t or "").split()) else Counter() for t in texts]
+    df = Counter(g for b in bags for g in b)
+    n = len(texts)
+
+    def weight(g):
+        p = df[g] / n
+        return (1 + log(1 / max(p, 1 / 512)) / log(512)) / 2
+
+    sets = [{g: k * weight(g) for g, k in b.items()} for b in bags]
+    out = []
+    for a in range(n):
+        for b in range(a):
+            if sets[a] and sets[b] and texts[a] != texts[b] and not sets[a].keys().isdisjoint(sets[b]):
+                low = sum(min(v, sets[b].get(g, 0)) for g, v in sets[a].items())
+                if low >= threshold * (sum(sets[a].values()) + sum(sets[b].values()) - low):
+                    out.append((b, a))
+    return out
+
+
+def grouped(texts, links):
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    first = {}
+    for i, t in enumerate(texts):
+        links = [*links, (first.setdefault(t or "", i), i)]
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(texts))}
 
 
 def test_components(spark):
@@ -369,14 +393,31 @@ def test_components(spark):
     assert {got[i] for i in range(1, 21)} == {1} and {got[i] for i in range(21, 41)} == {21} and got[100] == 90
 
 
-def test_shingle_counts_ignore_partitions(spark):
-    from causalloom.llm.near_dedup import _word_hash, frequent_shingles
+def test_shingle_counts_are_exact_in_any_partitions(spark):
+    from causalloom.llm.near_dedup import _sets, frequent_shingles
 
-    rows = [(f"only {i} stands in this text {i}" + (" one shared run of words" if i % 60 == 7 else ""),) for i in range(600)]
-    want = {int(h) for h in _word_hash().shingles("one shared run of words")}
-    for parts in (1, 10):
-        h, part = frequent_shingles(spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "text string"))
-        assert {int(x): p for x, p in zip(h, part, strict=True) if int(x) in want} == dict.fromkeys(want, 10 / 600)
+    rows = [(i, i, "x", f"only {i} stands in this text {i}" + (" one shared run of words" if i % 60 == 7 else "")) for i in range(3000)]
+    rows += [(i, i, "x", "a notice of five words") for i in range(3000, 3007)]
+    seen = []
+    for parts in (1, 10, 64):
+        d = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "row long, id long, th string, text string")
+        h, part = frequent_shingles(_sets(d), len(rows))
+        seen.append(sorted(zip(h.tolist(), part.tolist(), strict=True)))
+    assert seen[0] == seen[1] == seen[2] and [p for _, p in seen[0]].count(50 / 3007) == 1
+    assert 7 / 3007 in [p for _, p in seen[0]] and frequent_shingles(_sets(d.limit(0)), 0)[0].size == 0
+
+
+def test_near_duplicates_ignore_partitions_and_bear_hot_groups(spark):
+    from causalloom.llm.near_dedup import near_duplicates
+
+    rng = np.random.default_rng(11)
+    page = prose(400, 90).split()
+    near = [" ".join(w if j not in {(7 * k) % 90, (11 * k) % 90} else f"e{k}" for j, w in enumerate(page)) for k in range(150)]
+    texts = near + [prose(400, 90)] * 100 + [" ".join(page[:45]) + " " + prose(500 + k, 50) for k in range(80)] + [prose(600 + int(k), 60) for k in rng.integers(40, size=120)]
+    want = grouped(texts, weighted_links(texts))
+    d = docs(spark, texts)
+    for parts in (1, 32):
+        assert {r.doc_id: r.class_id for r in near_duplicates(d.repartition(parts)).collect()} == want
 
 
 # 6: quality
@@ -534,12 +575,8 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in seen[1].collect()} == q == {r.doc_id for r in seen[2].collect()}
     assert {r.doc_id: r.text for r in seen[2].collect()} == brute_lines([(r.doc_id, r.text) for r in seen[1].collect()])
     left = {r.doc_id: r.text for r in seen[3].collect()}
-    sets = {i: shingle_set(t) for i, t in left.items()}
-    by_shingle = {}
-    for i, s in sets.items():
-        for g in s:
-            by_shingle.setdefault(g, []).append(i)
-    common = Counter((a, b) for v in by_shingle.values() for a in v for b in v if a < b)
-    assert not [p for p, n in common.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    cleaned = {r.doc_id: r.text for r in seen[2].collect()}
+    ids = sorted(cleaned)
+    assert set(left) == {ids[r] for r in set(grouped([cleaned[i] for i in ids], weighted_links([cleaned[i] for i in ids])).values())}
     tokens = {r.doc_id: r.n for r in seen[4].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert tokens == {i: len(ids_of("byte_bpe_50k.json", t)) + 1 for i, t in left.items()}
