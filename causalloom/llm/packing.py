@@ -134,7 +134,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(("spaced", tokenizer_file), shared.value, True)
+        enc = encoder(tokenizer_file, shared.value)
         packer, serial = SumOfSquares(size), TaskContext.get().partitionId() << ID_BITS
         out: list[list] = [[] for _ in range(8)]
 

@@ -1,13 +1,14 @@
 """Token ids as Arrow stream files of fixed-size-list batches, for zero-copy random access.
 
 A file holds equal-length sequences: column `ids` is fixed_size_list<uint16 or uint32>[L],
-column `mask` fixed_size_list<bool>[L] (false on the padding at the file's end). An index
+column `mask` fixed_size_list<uint8>[L] (0 on the padding at the file's end, else 1). An index
 beside it (`.index.arrow`) has a row per document: doc_id, start in the file, n_tokens.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from .units import encoder
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
+#: Bytes of text that go into one file, about.
+FILE_BYTES = 1 << 28
 
 
 def _filesystem(uri: str):
@@ -41,16 +44,18 @@ class TokenFileWriter:
 
         self.temporary = f"{self.path}.{uuid.uuid4().hex}.tmp"
         value = pa.uint32() if wide else pa.uint16()
-        self.schema = pa.schema([("ids", pa.list_(value, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+        self.schema = pa.schema([("ids", pa.list_(value, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
         self.sink = self.fs.open_output_stream(self.temporary)
         self.stream = pa.ipc.new_stream(self.sink, self.schema)
         self.held: list[np.ndarray] = []
         self.count = self.total = 0
-        self.index: list[tuple] = []
+        self.docs: list[int | None] = []
+        self.sizes = array("q")
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         got = np.frombuffer(ids, "<u4").astype(self.kind)
-        self.index.append((doc_id, self.total, len(got)))
+        self.docs.append(doc_id)
+        self.sizes.append(len(got))
         self.total += len(got)
         self.held.append(got)
         self.count += len(got)
@@ -61,10 +66,10 @@ class TokenFileWriter:
         flat = np.concatenate(self.held)
         head, tail = flat[:most], flat[most:]
         pad = -len(head) % self.n
-        mask = np.ones(len(head) + pad, bool)
+        mask = np.ones(len(head) + pad, np.uint8)
         if pad:
             head = np.concatenate([head, np.zeros(pad, self.kind)])
-            mask[-pad:] = False
+            mask[-pad:] = 0
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(head), self.n), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.n)]
         for at in range(0, len(cols[0]), BATCH_SEQUENCES):
             self.stream.write_batch(pa.RecordBatch.from_arrays([c.slice(at, BATCH_SEQUENCES) for c in cols], schema=self.schema))
@@ -75,8 +80,8 @@ class TokenFileWriter:
             self._write(self.count)
         self.stream.close()
         self.sink.close()
-        docs, starts, sizes = zip(*self.index, strict=True) if self.index else ((), (), ())
-        index = pa.table({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})
+        sizes = np.array(self.sizes, np.int64)
+        index = pa.table({"doc_id": pa.array(self.docs, pa.int64()), "start": np.cumsum(sizes) - sizes, "n_tokens": sizes})
         with self.fs.open_output_stream(f"{self.temporary}.index") as out, pa.ipc.new_stream(out, index.schema) as w:
             w.write_table(index)
         self.fs.move(f"{self.temporary}.index", f"{self.path}.index.arrow")
@@ -102,14 +107,17 @@ class TokenFile:
         return col.values.slice(col.offset * self.n, len(col) * self.n)
 
     def sequence(self, i: int) -> np.ndarray:
-        b = int(np.searchsorted(self.first, i, "right")) - 1
-        at = (i - int(self.first[b])) * self.n
-        return self._flat(b, "ids").slice(at, self.n).to_numpy(zero_copy_only=True)
+        """The ids of sequence i, a view of the file."""
+        return self._view(i, "ids")
 
     def mask(self, i: int) -> np.ndarray:
+        """1 for each id of sequence i that is a token, 0 for padding; a view of the file."""
+        return self._view(i, "mask")
+
+    def _view(self, i: int, column: str) -> np.ndarray:
         b = int(np.searchsorted(self.first, i, "right")) - 1
         at = (i - int(self.first[b])) * self.n
-        return self._flat(b, "mask").slice(at, self.n).to_numpy(zero_copy_only=False)
+        return self._flat(b, column).slice(at, self.n).to_numpy(zero_copy_only=True)
 
     def tokens(self, start: int, count: int) -> np.ndarray:
         """Ids start to start + count of the file, over batches."""
@@ -133,7 +141,8 @@ def write_tokens(
 
     Texts are dealt by ranges of their id (ties by their row in the input, so a repeated
     id spreads over files), sorted, encoded and written where they land; file k holds the
-    k-th range. Returns the manifest, one row a file: file (number), path, docs, tokens.
+    k-th range. There are `partitions` files, or as many as the session has shuffle
+    partitions, but more where a file would then hold over FILE_BYTES of text. Returns the manifest, one row a file: file (number), path, docs, tokens.
     A task that runs again writes under a temporary name first, so readers never see parts.
     Null texts are empty: the end id alone. Null ids come first. Other columns are ignored.
     An empty table writes no file.
@@ -150,7 +159,7 @@ def write_tokens(
         from pyspark import TaskContext
 
         number, writer = TaskContext.get().partitionId(), None
-        enc = encoder(("words", tokenizer_file), shared.value, False)
+        enc = encoder(tokenizer_file, shared.value)
         uri = f"{path}/part-{number:06d}.arrow"
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -160,10 +169,10 @@ def write_tokens(
                     writer.add(doc, got + end)
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"file": pa.array([number], pa.int32()), "path": [uri], "docs": pa.array([len(writer.index)], pa.int64()), "tokens": pa.array([writer.total], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"file": pa.array([number], pa.int32()), "path": [uri], "docs": pa.array([len(writer.docs)], pa.int64()), "tokens": pa.array([writer.total], pa.int64())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     dealt = rows.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     files = dealt.mapInArrow(run, "file int, path string, docs long, tokens long").collect()  # one row a file
     schema = T.StructType.fromDDL("file int, path string, docs long, tokens long")

@@ -1,15 +1,17 @@
-"""Ids of whole texts by the units between spaces, with bounded caches.
+"""Ids of whole texts as the tokenizers library gives them, by the units between spaces, with bounded caches.
 
-For both vocabularies used here the ids of a text are the ids of its units in order,
-where a unit is what stands between two spaces (byte-level: with the space before it),
-so long as no unit is empty or begins or ends with white space; a text with such a unit
-is encoded as a whole. Most units come from a cache. A new unit of ASCII and Latin-1
+For two kinds of vocabulary the ids of a text are the ids of its units in order, where a
+unit is what stands between two spaces (byte-level: with the space before it), so long as
+no unit is empty or begins or ends with white space; a text with such a unit, or with an
+added token such as <|endoftext|>, is encoded as a whole. So is every text under any other
+kind of vocabulary, which its file tells. Most units come from a cache. A new unit of ASCII and Latin-1
 letters is cut by the tokenizer's own pattern and its pieces go to the tokenizer's BPE
 model; any other unit goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 from array import array
 
@@ -42,18 +44,36 @@ class Known(dict):
         return self.new(key)
 
 
+def kind(spec: dict) -> str:
+    """Which way a vocabulary file cuts text: "spaced" (a space belongs to the unit after it), "folded" (spaces have no ids and case folds), or "other"."""
+    model, added = spec.get("model") or {}, spec.get("added_tokens") or []
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if not plain or any(t.get("normalized") or not t["content"] for t in added):
+        return "other"
+    cut, norm, suffix = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), model.get("end_of_word_suffix")
+    if cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex") and norm is None and not suffix:
+        return "spaced"
+    steps, parts = (norm or {}).get("normalizers", []), cut.get("pretokenizers", [])
+    if [x.get("type") for x in steps] != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in parts] != ["Split", "ByteLevel"]:
+        return "other"
+    spaces = steps[1].get("pattern") == {"Regex": "\\s+"} and steps[1].get("content") == " "
+    split = parts[0].get("pattern") == {"Regex": WORD_PATTERN} and parts[0].get("behavior") == "Removed" and parts[0].get("invert")
+    return "folded" if spaces and split and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex") else "other"
+
+
 class UnitEncoder:
     """ids(texts) -> for each text the bytes of its ids as little-endian uint32."""
 
-    def __init__(self, tokenizer_json: str, spaced: bool):
+    def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        #: spaced: a space belongs to the unit after it; else spaces have no ids and case folds.
-        self.spaced = spaced
-        self.find = regex.compile(BYTE_PATTERN if spaced else WORD_PATTERN).findall
+        spec = json.loads(tokenizer_json)
+        found = kind(spec)
+        self.spaced, self.whole = found == "spaced", found == "other"
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.find = regex.compile(BYTE_PATTERN if self.spaced else WORD_PATTERN).findall
         self.letters = byte_letters()
         self.units, self.pieces = Known(self._unit), Known(self._piece)
         self.unit_room, self.piece_room = CACHE_UNITS, CACHE_PIECES
@@ -93,6 +113,8 @@ class UnitEncoder:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def one(self, text: str) -> bytes:
+        if self.whole or any(a in text for a in self.added):
+            return self._whole(text)
         units = text.split(" ")
         if not self.spaced:
             return b"".join(map(self.units.__getitem__, units))
@@ -109,11 +131,11 @@ class UnitEncoder:
         return list(map(self.one, texts))
 
 
-_encoders: dict[tuple, UnitEncoder] = {}
+_encoders: dict[str, UnitEncoder] = {}
 
 
-def encoder(key: tuple, tokenizer_json: str, spaced: bool) -> UnitEncoder:
+def encoder(tokenizer_file: str, tokenizer_json: str) -> UnitEncoder:
     """One encoder for each vocabulary and Python worker; it outlives a task."""
-    if key not in _encoders:
-        _encoders[key] = UnitEncoder(tokenizer_json, spaced)
-    return _encoders[key]
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = UnitEncoder(tokenizer_json)
+    return _encoders[tokenizer_file]

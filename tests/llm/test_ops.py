@@ -1,6 +1,7 @@
 """The ten operators on small fixtures: brute force, edge cases, planted cases."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
@@ -198,9 +199,7 @@ def ids_of(name, text):
     from tokenizers import Tokenizer
 
     if name not in ids_of.__dict__:
-        t = Tokenizer.from_file(P.path(name))
-        t.encode_special_tokens = True
-        ids_of.__dict__[name] = t
+        ids_of.__dict__[name] = Tokenizer.from_file(P.path(name))
     return ids_of.__dict__[name].encode(text or "", add_special_tokens=False).ids
 
 
@@ -218,7 +217,7 @@ def test_token_files(spark, tmp_path, real):
     assert got == want
     f = TokenFile(manifest.first().path)
     first = [i for r in sorted(want) for i in want[r][3]][:128]
-    assert f.sequence(1).tolist() == first[64:] and f.sequence(0).base is not None and f.mask(0).all()
+    assert f.sequence(1).tolist() == first[64:] and f.sequence(0).base is not None and f.mask(0).all() and f.mask(0).base is not None and not f.mask(0).flags.writeable
     assert f.sequence(0).dtype == np.uint16 and f.tokens(10, 20).tolist() == first[10:30]
     assert read_tokens(write_tokens(d.limit(0), P.path("word_bpe_49k.json"), f"file://{tmp_path}/e")).count() == 0
     nulls = docs(spark, ["a", "a", None], [None, 5, 5])
@@ -228,14 +227,21 @@ def test_token_files(spark, tmp_path, real):
 def test_units_equal_whole_texts():
     from tokenizers import Tokenizer
 
-    from causalloom.llm.units import UnitEncoder
+    from causalloom.llm.units import UnitEncoder, kind
 
     rng = np.random.default_rng(4)
     signs = ["a", "B", " ", "  ", "\n", "\t", "'s", "'LL", "é", "É", "Σ", "İ", "1", "23", "!", "<|endoftext|>", "<|startoftext|>", "日本", "\xa0", "́", "ß", "\x85", "\x1c", "😀", "_", "'", "ﬁ"]
     texts = ["".join(signs[i] for i in rng.integers(len(signs), size=rng.integers(0, 30))) for _ in range(1500)] + [t or "" for t in ODD]
-    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        enc = UnitEncoder(Tokenizer.from_file(P.path(name)).to_str(), spaced)
-        assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] == [ids_of(name, t) for t in texts]
+    for name, found in (("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "folded")):
+        spec = Tokenizer.from_file(P.path(name)).to_str()
+        assert kind(json.loads(spec)) == found
+        assert [np.frombuffer(b, "<u4").tolist() for b in UnitEncoder(spec).ids(texts)] == [ids_of(name, t) for t in texts]
+    other = json.loads(Tokenizer.from_file(P.path("byte_bpe_50k.json")).to_str())
+    other["normalizer"] = {"type": "Lowercase"}
+    assert kind(other) == "other"
+    own = Tokenizer.from_str(json.dumps(other))
+    assert [np.frombuffer(b, "<u4").tolist() for b in UnitEncoder(json.dumps(other)).ids(texts[:300])] == [own.encode(t, add_special_tokens=False).ids for t in texts[:300]]
+    assert ids_of("word_bpe_49k.json", "hi <|endoftext|>")[1] == 49407
 
 
 def test_bpe(spark, real):
