@@ -17,8 +17,8 @@ from array import array
 
 import regex
 
-#: Units and pieces kept by one Python worker; others are encoded each time they come.
-CACHE_UNITS, CACHE_PIECES, CACHE_CHARS = 600_000, 300_000, 48
+#: Units of a generation (two are kept) and pieces kept by one Python worker; others are encoded each time they come.
+CACHE_UNITS, CACHE_PIECES, CACHE_CHARS = 600_000, 100_000, 48
 #: The patterns by which the two vocabularies cut text.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -76,7 +76,8 @@ class UnitEncoder:
         self.find = regex.compile(BYTE_PATTERN if self.spaced else WORD_PATTERN).findall
         self.letters = byte_letters()
         self.units, self.pieces = Known(self._unit), Known(self._piece)
-        self.unit_room, self.piece_room = CACHE_UNITS, CACHE_PIECES
+        #: Units that came in the generation before: what comes again moves on, the rest is forgotten.
+        self.older: dict[str, bytes] = {}
         self.odd = False
 
     @staticmethod
@@ -86,25 +87,41 @@ class UnitEncoder:
             out.byteswap()
         return out.tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def _model(self, piece: str) -> bytes:
         spelled = piece.encode().decode("latin-1").translate(self.letters)
-        out = self._bytes([t.id for t in self.model.tokenize(spelled)])
-        if self.piece_room > 0 and len(piece) <= CACHE_CHARS:
+        return self._bytes([t.id for t in self.model.tokenize(spelled)])
+
+    def _piece(self, piece: str) -> bytes:
+        out = self._model(piece)
+        if len(self.pieces) < CACHE_PIECES and len(piece) <= CACHE_CHARS:
             self.pieces[piece] = out
-            self.piece_room -= 1
         return out
 
     def _unit(self, unit: str) -> bytes:
         if self.spaced and (not unit or unit[0].isspace() or unit[-1].isspace()):
             self.odd = True
             return b""
-        text = " " + unit if self.spaced else unit
-        out = self._plain(text.lower() if not self.spaced else text) if PLAIN(unit) else self._whole(text)
-        if self.unit_room > 0 and len(unit) <= CACHE_CHARS:
+        out = self.older.get(unit)
+        if out is None:
+            out = self._new_unit(unit)
+        if len(unit) <= CACHE_CHARS:
+            if len(self.units) >= CACHE_UNITS:
+                self.older, self.units = self.units, Known(self._unit)
             self.units[unit] = out
-            self.unit_room -= 1
         return out
 
+    def _new_unit(self, unit: str) -> bytes:
+        text = " " + unit if self.spaced else unit
+        if not PLAIN(unit):
+            return self._whole(text)
+        if not self.spaced:
+            text = text.lower()
+        if unit.isalpha():
+            return self._model(text)  # one piece
+        if unit[:-1].isalpha() and unit[-1] in ".,;:!?":
+            return self.units[unit[:-1]] + self.pieces[unit[-1]]  # two of them
+        return self._plain(text)
+
     def _plain(self, text: str) -> bytes:
         found = self.find(text)
         return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
