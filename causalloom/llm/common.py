@@ -23,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def meet(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined to keyed on key, where no key's rows gather in one task.
+def meet(rows: DataFrame, keyed: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner, or left) to keyed on key, where no key's rows gather in one task.
 
     keyed has one row a key, and in column n the number of that key's rows; total is the
     number of rows. The keyed rows of hot keys, HOT_PARTS at most whatever the input, are
@@ -32,7 +32,7 @@ def meet(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
     """
     least = total / HOT_PARTS
     hot = F.broadcast(keyed.where(F.col("n") > least))
-    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col("n") <= least), key)
+    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col("n") <= least), key, how)
     return rows.join(hot, key).unionByName(cold)
 
 

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, meet
 
 #: A coordinate on the widest dimension has this many bits; ties below it fall to a hash of the text.
 COORD_BITS, HASH_BITS, STEP_BITS = 20, 31, 13
 #: At most this many bits of sums come to the driver in a round; at most so many leaves are made.
 SUM_BITS, MOST_LEAVES = 20, 1 << 16
 KEY_BITS = COORD_BITS + HASH_BITS
-#: A group of equal texts over this part of a shard's target is cut into pieces of about that size.
+#: What shard() takes for piece_part: near-equal sizes need that no point weighs much of a shard.
 PIECE_PART = 1 / 32
 #: Rows numbered by one window task.
 SLOT_ROWS = 200_000
@@ -42,7 +42,7 @@ def _key() -> Column:
 
 
 def _small(frame: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """A broadcast table of few integer rows (nodes, or slot buckets), made in the engine from one literal."""
+    """A broadcast table of few integer rows (one or two a node, MOST_LEAVES at most), made in the engine from one literal."""
     columns = [c.split() for c in schema.split(", ")]
     text = ";".join(",".join(map(str, r)) for r in rows)
     one = frame.sparkSession.range(0, 1, 1, 1).select(F.explode(F.split(F.lit(text), ";")).alias("row"))
@@ -96,14 +96,18 @@ def _descend(frame: DataFrame, cuts: list[tuple[int, int, int, int, int]]) -> Da
 def shard(
     docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None, id_col: str = "doc_id",
     text_col: str = "text", length_col: str = "n_chars", source_col: str = "source", lang_col: str = "lang",
+    piece_part: float | None = PIECE_PART,
 ) -> DataFrame:
     """Put every document into a shard; the law is `bytes`: shards have near-equal sizes.
 
     shards: the number of leaves (MOST_LEAVES at most), or None to derive it from target_bytes. Dimensions are
     length (logarithmic), source and language, each scaled to [0, 1]. A node splits at
     the weighted median (weight: bytes) along its widest dimension, again and again.
-    Equal texts are one point, so they share a shard, unless they weigh more than
-    PIECE_PART of a shard: then they are several points, dealt by a hash of their row.
+    Equal texts are one point, so they share a shard. The law cannot hold where a group of
+    equal texts outweighs a shard, so one of over piece_part of a shard becomes several
+    points of about that weight, dealt by a hash of text and id (null ids: of the row);
+    with piece_part None every group stays whole and sizes are as near as groups let them.
+    A document's shard depends on the documents alone, not on the table's partitions.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law, shard, slot
     (0 up to the shard's rows less one, without gaps) and grown_shard (null under this
@@ -133,24 +137,26 @@ def shard(
     leaves = shards if shards is not None else max(1, -(-total["size"] // target_bytes))
     if leaves > MOST_LEAVES:
         raise ValueError(f"{leaves} shards are more than {MOST_LEAVES}")
-    piece = max(1, int(total["size"] / leaves * PIECE_PART))
     groups = rows.groupBy("same").agg(
-        F.sum("size").alias("same_size"), F.min("d_length").alias("g_length"), F.min("d_source").alias("g_source"), F.min("d_lang").alias("g_lang"),
+        F.count("*").alias("n"), F.sum("size").alias("same_size"), F.min("d_length").alias("g_length"), F.min("d_source").alias("g_source"), F.min("d_lang").alias("g_lang"),
     )
-    # Groups of one row need no join: only repeated texts take their group's place.
-    placed = rows.join(groups, "same").withColumn("pieces", F.ceil(F.col("same_size") / piece).cast("long"))
-    placed = placed.withColumn("part", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("row"), "pieces")).otherwise(F.lit(0).cast("long")))
+    # Only repeated texts take their group's place; those of very many rows meet it by broadcast.
+    groups = materialize(groups.where(F.col("n") > 1), "shard-repeated")
+    placed = meet(rows, groups, "same", total["n"], "left")
+    pieces = F.lit(1) if piece_part is None else F.coalesce(F.ceil(F.col("same_size") / max(1, int(total["size"] / leaves * piece_part))), F.lit(1))
+    part = F.when(pieces > 1, F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("row").cast("string")), "same"), pieces)).otherwise(F.lit(0)).cast("long")
+    placed = placed.withColumn("part", part)
     for d in DIMENSIONS:
         low, high = total[f"min_{d}"] or 0.0, total[f"max_{d}"] or 0.0
-        placed = placed.withColumn(d, _unit(F.col(d.replace("d_", "g_")), low, high))
+        placed = placed.withColumn(d, _unit(F.when(F.col("n").isNull(), F.col(d)).otherwise(F.col(d.replace("d_", "g_"))), low, high))
+    node = F.lit(0).alias("node")
     placed = materialize(
-        placed.select("doc_id", "size", "text_crc32", "row", *DIMENSIONS, F.shiftrightunsigned(F.xxhash64("same", "part"), 64 - HASH_BITS).alias("tie")),
+        placed.select("doc_id", "size", "text_crc32", "row", *DIMENSIONS, F.shiftrightunsigned(F.xxhash64("same", "part"), 64 - HASH_BITS).alias("tie"), node),
         "shard-points",
     )
-    points = placed.groupBy("tie", *DIMENSIONS).agg(F.sum("size").alias("weight"))
-    points = materialize(points, "shard-groups")
+    points = materialize(placed.groupBy("tie", *DIMENSIONS, "node").agg(F.sum("size").alias("weight")), "shard-groups")
     nodes, fresh, leaf = {0: Node(0, leaves)}, 1, {}
-    points, dealt = points.withColumn("node", F.lit(0)), placed.withColumn("node", F.lit(0))
+    dealt = placed
     while any(n.shards > 1 for n in nodes.values()):
         found = _split_points(points, nodes)
         after, cuts = {}, []
@@ -169,16 +175,11 @@ def shard(
     dealt = dealt.join(_small(dealt, list(leaf.items()), "node int, shard int"), "node")
     buckets = max(1, -(-total["n"] // (SLOT_ROWS * leaves)), min(32, total["n"] // 256))
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
-    sizes = sorted((r["shard"], r["bucket"], r["n"]) for r in dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n")).collect())
-    starts, at = [], {}
-    for s, b, n in sizes:
-        starts.append((s, b, at.get(s, 0)))
-        at[s] = at.get(s, 0) + n
-    offsets = _small(dealt, starts, "shard int, bucket int, start long")
-    from pyspark.sql import Window
-
+    dealt = materialize(dealt.select("doc_id", "size", "text_crc32", "row", "shard", "bucket"), "shard-dealt")
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     order = Window.partitionBy("shard", "bucket").orderBy("row")
-    numbered = dealt.withColumn("place", F.row_number().over(order)).join(offsets, ["shard", "bucket"])
+    numbered = dealt.withColumn("place", F.row_number().over(order)).join(starts, ["shard", "bucket"])
     return numbered.select(*_columns(F.col("shard"), F.col("start") + F.col("place") - 1))
 
 

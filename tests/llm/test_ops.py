@@ -563,6 +563,49 @@ def test_sharding_keeps_small_groups_together(spark):
     d = docs(spark, [prose(i // 2, 60) for i in range(4000)])
     p = shard(d, 8).toPandas()
     assert p.groupby("text_crc32")["shard"].nunique().max() == 1
+    hot = docs(spark, ["hot text " * 20] * 300 + [prose(i, 20 + i % 90) for i in range(600)])
+    seen = [{r.doc_id: r.shard for r in shard(hot.repartition(n), 8).collect()} for n in (1, 7)]
+    assert seen[0] == seen[1] and len({seen[0][i] for i in range(300)}) > 1
+    whole = {r.doc_id: r.shard for r in shard(hot, 4, piece_part=None).collect()}
+    assert len({whole[i] for i in range(300)}) == 1
+
+
+def brute_tree(points, shards):
+    """K-d tree by sorting: points are (coordinates, tie, weight); returns a shard a point."""
+    out, todo = {}, [(list(points), 0, shards)]
+    while todo:
+        mine, first, k = todo.pop()
+        if k == 1:
+            out |= dict.fromkeys(((c, t) for c, t, _ in mine), first)
+            continue
+        span = [max(c[d] for c, _, _ in mine) - min(c[d] for c, _, _ in mine) for d in range(3)]
+        d = span.index(max(span))
+        key = lambda p: (min(int(p[0][d] * (1 << 20)), (1 << 20) - 1), p[1])
+        weights = Counter()
+        for p in mine:
+            weights[key(p)] += p[2]
+        want, below, cut = sum(weights.values()) * (k // 2) / k, 0, None
+        for x in sorted(weights):
+            if below + weights[x] >= want:
+                cut = (x, True) if abs(below + weights[x] - want) < abs(want - below) else (x, False)
+                break
+            below += weights[x]
+        low = [p for p in mine if key(p) < cut[0] or cut[1] and key(p) == cut[0]]
+        todo += [(low, first, k // 2), ([p for p in mine if p not in low], first + k // 2, k - k // 2)]
+    return out
+
+
+def test_sharding_is_a_kd_tree(spark):
+    from causalloom.llm.sharding import shard
+
+    d = docs(spark, [prose(i, 3 + 7 * i % 90) for i in range(160)])
+    rows = d.select("doc_id", "text", "source", "lang", "n_chars", F.shiftrightunsigned(F.xxhash64(F.xxhash64("text"), F.lit(0).cast("long")), 33).alias("tie")).collect()
+    raw = [(np.log2(r.n_chars + 1.0), zlib.crc32(r.source.encode()) / 2**32, 0.0) for r in rows]
+    low, high = [min(x) for x in zip(*raw, strict=True)], [max(x) for x in zip(*raw, strict=True)]
+    unit = [tuple((x - a) / (b - a) if b > a else 0.0 for x, a, b in zip(p, low, high, strict=True)) for p in raw]
+    want = brute_tree([(u, r.tie, len(r.text.encode()) + 1) for u, r in zip(unit, rows, strict=True)], 5)
+    got = {r.doc_id: r.shard for r in shard(d, 5).collect()}
+    assert got == {r.doc_id: want[u, r.tie] for u, r in zip(unit, rows, strict=True)}
 
 
 # pipeline
