@@ -12,24 +12,27 @@ from .common import let, materialize
 SPACES = r"[ \x09-\x0D]+"
 MIN_WORDS = 50
 
-#: Rules: name, vote (-1 bad, 1 good), and when it votes; else it abstains.
+#: Rules: name, vote (-1 bad, 1 good), and when it votes; else it abstains. The two good ones
+#: abstain where a measure that a clear bad rule reads is out of range; "echoes" and "brief"
+#: are hints that may well be wrong, and the fitted accuracies say by how much.
 RULES: list[tuple[str, int, str]] = [
     ("symbols", -1, "n_symbols >= 0.10 * n_words"),
-    ("capitals", -1, "n_upper >= 0.40 * word_chars"),
-    ("shouting", -1, "n_shouts >= 0.20 * n_words"),
-    ("bars", -1, "n_bars >= 0.10 * n_words"),
+    ("loud", -1, "n_upper >= 0.40 * word_chars OR n_shouts >= 0.20 * n_words"),
     ("repetitive", -1, "n_repeat_words >= 0.45 * n_words OR (n_lines >= 4 AND n_dup_lines >= 0.40 * n_lines)"),
     ("word_length", -1, "word_chars >= 15 * n_words OR word_chars < 2 * n_words"),
-    ("too_short", -1, "n_words < 50"),
-    ("calm", 1, "n_words >= 50 AND n_symbols < 0.05 * n_words AND n_upper < 0.20 * word_chars AND n_shouts < 0.05 * n_words"),
-    ("varied", 1, "n_words >= 200 AND n_symbols < 0.02 * n_words AND n_bars < 0.02 * n_words AND n_repeat_words < 0.20 * n_words"),
+    ("echoes", -1, "n_repeat_words >= 0.10 * n_words"),
+    ("brief", -1, "n_words < 100"),
+    ("calm", 1, "n_symbols < 0.05 * n_words AND n_upper < 0.20 * word_chars AND n_shouts < 0.05 * n_words AND n_repeat_words < 0.45 * n_words AND (n_lines < 4 OR n_dup_lines < 0.40 * n_lines) AND word_chars < 15 * n_words AND word_chars >= 2 * n_words"),
+    ("varied", 1, "n_words >= 200 AND n_symbols < 0.05 * n_words AND n_repeat_words < 0.10 * n_words AND n_dup_lines < 0.20 * n_lines"),
 ]
 NAMES = [f"v_{r[0]}" for r in RULES]
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_bars"]
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts"]
 
 #: The label model: rounds, the accuracy that a rule starts from, how many votes of that accuracy
-#: stand beside its own (as a part of them), and the least posterior that keeps.
-ROUNDS, PRIOR_ACCURACY, PRIOR_PART, KEEP_AT = 30, 0.9, 1.0, 0.5
+#: stand beside its own (few: the data decide), and the least posterior that keeps.
+ROUNDS, PRIOR_ACCURACY, PRIOR_VOTES, KEEP_AT = 30, 0.9, 20.0, 0.5
+#: No rule is taken to be worse than chance (one that looks so has no say) or to be never wrong.
+LEAST_ACCURACY, MOST_ACCURACY = 0.5, 0.999
 
 
 def _only(text: Column, chars: str) -> Column:
@@ -80,17 +83,13 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size(lines).cast("long").alias("n_lines"),
         _only(text, r"\p{Lu}").alias("n_upper"),
         _only(text, "!").alias("n_shouts"),
-        _only(text, "|").alias("n_bars"),
     )
     return split.select(*[F.col(f"`{c}`") for c in docs.columns], measures.alias(HELD))
 
 
 def _votes() -> list[Column]:
-    """One column a rule: its vote, or 0 where it abstains. Texts without words get no vote but too_short."""
-    return [
-        F.when(F.expr(f"({when})" + ("" if name == "too_short" else " AND n_words > 0")), vote).otherwise(0).cast("int").alias(f"v_{name}")
-        for name, vote, when in RULES
-    ]
+    """One column a rule: its vote, or 0 where it abstains. Texts without words get no vote."""
+    return [F.when(F.expr(f"({when}) AND n_words > 0"), vote).otherwise(0).cast("int").alias(f"v_{name}") for name, vote, when in RULES]
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> list[float]:
@@ -99,8 +98,10 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> li
     The true label is hidden. A rule that votes is right with its accuracy, independently
     of the others; abstaining says nothing. Good and bad are held equally likely before
     any vote: most documents are good, and a balance learned from them would let that
-    outvote a rule which alone sees one kind of junk. The sums run over patterns in
-    sorted order, so equal counts give equal results.
+    outvote a rule which alone sees one kind of junk (a test shows it). For the same reason
+    accuracies stay between LEAST_ACCURACY and MOST_ACCURACY. Beside a rule's own votes
+    stand PRIOR_VOTES only. The sums run over patterns in sorted order, so equal counts
+    give equal results.
     """
     patterns = sorted(patterns)
     k = len(patterns[0][0]) if patterns else 0
@@ -113,8 +114,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> li
                 if v[j]:
                     votes += n
                     right += n * (p if v[j] > 0 else 1 - p)
-            extra = PRIOR_PART * votes + 1
-            accuracy[j] = (right + PRIOR_ACCURACY * extra) / (votes + extra)
+            accuracy[j] = min(max((right + PRIOR_ACCURACY * PRIOR_VOTES) / (votes + PRIOR_VOTES), LEAST_ACCURACY), MOST_ACCURACY)
     return accuracy
 
 

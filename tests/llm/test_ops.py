@@ -455,12 +455,49 @@ def test_quality(spark, real, sf_dir):
     assert right >= 0.95 * sum(r["count"] for r in seen)
 
 
-def test_label_model():
+def brute_label_model(votes, balance=None, rounds=30):
+    """EM over single documents, in numpy: accuracies and posteriors; balance: the starting share of good ones, then learned."""
+    v = np.array(votes, float)
+    acc, pi = np.full(v.shape[1], 0.9), balance or 0.5
+
+    def post():
+        return 1 / (1 + np.exp(-(v @ np.log(acc / (1 - acc)) + np.log(pi / (1 - pi)))))
+
+    for _ in range(rounds):
+        p = post()
+        right = ((v > 0) * p[:, None] + (v < 0) * (1 - p)[:, None]).sum(0)
+        acc = np.clip((right + 18) / ((v != 0).sum(0) + 20), 0.5, 0.999)
+        pi = p.mean() if balance else 0.5
+    return acc, post()
+
+
+def test_label_model_is_em_over_documents(spark, real):
+    from causalloom.llm.quality import NAMES, RULES, fit, label_model, measured, HELD, score
+
+    d = real.select("doc_id", "text").unionByName(docs(spark, [prose(1, 80) + " $$" * 30] * 40).select("doc_id", "text"))
+    got = score(d).collect()
+    votes = [[r[n] for n in NAMES] for r in got]
+    acc, post = brute_label_model(votes)
+    assert np.allclose(label_model(measured(d).select(f"{HELD}.*")), acc, atol=1e-9)
+    assert np.allclose([r.quality for r in got], post, atol=1e-9)
+    assert [r.kept for r in got] == [not r.base_failed and p >= 0.5 for r, p in zip(got, post, strict=True)]
+    by_name = dict(zip([r[0] for r in RULES], acc, strict=True))
+    assert by_name["brief"] < 0.6 < 0.9 < min(by_name["calm"], by_name["repetitive"])  # far from where they start
+    assert fit([]) == []
+
+
+def test_label_model_learns_accuracies_and_needs_an_even_balance():
     from causalloom.llm.quality import fit, posterior
 
     a = fit([((1, 0), 900), ((0, -1), 80), ((1, -1), 5), ((0, 0), 15)])
-    assert posterior((1, 0), a) > 0.85 > 0.2 > posterior((0, -1), a)
-    assert fit([]) == []
+    assert posterior((1, 0), a) > 0.85 > 0.25 > posterior((0, -1), a)  # the weak prior gives the five conflicts their weight
+    rng = np.random.default_rng(5)
+    truth, right = rng.random(4000) < 0.5, (0.95, 0.8, 0.65)
+    votes = [[(1 if (rng.random() < p) == t else -1) if rng.random() < 0.7 else 0 for p in right] for t in truth]
+    a = fit(list(Counter(map(tuple, votes)).items()))
+    assert np.allclose(a, right, atol=0.05) and np.allclose(a, brute_label_model(votes)[0], atol=1e-9)
+    alone = [[1, 0]] * 950 + [[0, -1]] * 50
+    assert brute_label_model(alone)[1][-1] < 0.2 < 0.5 < brute_label_model(alone, 0.9)[1][-1]
 
 
 # 7: top-k
