@@ -564,7 +564,8 @@ def test_frequent_licenses(spark):
     from causalloom.llm.licenses import TEMPLATES, scan_licenses
 
     n, every = 51_000, F.concat_ws("\n", F.lit("file"), F.col("id").cast("string"))
-    for label, notice, _ in (TEMPLATES[6], TEMPLATES[4], ("gpl-3", TEMPLATES[6][1].replace("licensed", "licenced"), None)):
+    gpl = next(t for t in TEMPLATES if t[0] == "gpl-3" and t[1].startswith("licensed"))
+    for label, notice, _ in (gpl, next(t for t in TEMPLATES if t[0] == "bsd"), ("gpl-3", gpl[1].replace("licensed", "licenced"), None)):
         d = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat_ws(" ", every, F.lit(notice))).otherwise(every).alias("text"))
         got = {(r.hot, r.labels): r["count"] for r in scan_licenses(d).groupBy((F.col("doc_id") % 3 == 0).alias("hot"), "labels").count().collect()}
         assert got == {(True, label): n // 3, (False, ""): n - n // 3}
@@ -573,6 +574,53 @@ def test_frequent_licenses(spark):
         assert label in alone.labels.split(",") and alone.score == 1
 
 
+def aligned(templates, idf, ws):
+    """Brute force: labels and best score over every start of every template, a word being at its place within SLACK."""
+    from causalloom.llm.licenses import LEAST_SCORE, SLACK, words
+
+    labels, best = set(), 0.0
+    for label, text, phrases in templates:
+        own, joined = words(text), [words(p) for p in phrases]
+        for s in range(-len(own), len(ws)):
+            hits = [q for q, w in enumerate(own) if any(0 <= s + q + d < len(ws) and ws[s + q + d] == w for d in range(-SLACK, SLACK + 1))]
+            score = max(len(hits) / len(own), sum(idf[own[q]] for q in hits) / (sum(idf[w] for w in own) or 1))
+            part = ws[max(0, s - 2 * SLACK) : max(0, s + len(own) + 3 * SLACK)]
+            if score >= LEAST_SCORE and all(any(part[k : k + len(p)] == p for k in range(len(part))) for p in joined):
+                labels.add(label)
+                best = max(best, min(1.0, score))
+    return labels, best
+
+
+def test_licenses_at_any_corpus_size():
+    from math import log
+
+    from causalloom.llm.licenses import TEMPLATES, Index, words
+
+    vocabulary = {w for _, t, _ in TEMPLATES for w in words(t)}
+    rng = np.random.default_rng(12)
+    files = [f"{prose(i, 30)} {t} {prose(90 + i, 30)}" for i, (_, t, _) in enumerate(TEMPLATES)]
+    for i, (_, t, _) in enumerate(TEMPLATES[::3]):
+        ws = t.split()
+        files.append(" ".join(w if rng.random() > 0.08 else f"other{i}" for w in ws))
+    files += [prose(7, 80), " ".join(sorted(vocabulary, key=str)[k].decode() for k in range(60)), "the mit license is unlike the gnu general public license version 3"]
+    docs_ = [words(f) for f in files]
+    seen = Counter(w for ws in docs_ for w in set(ws) & vocabulary)
+    first = None
+    for times in (1, 10, 1000, 10**6):
+        for common in (False, True):  # with every licence word in most documents
+            n = len(files) * times
+            idf = {w: log((n + 1) / ((int(0.7 * n) if common else seen[w] * times) + 1)) for w in vocabulary}
+            index = Index(TEMPLATES, idf)
+            got = [index.scan(ws, b" " + b" ".join(ws) + b" ") for ws in docs_]
+            assert all(label in g for (label, _, _), (g, _) in zip(TEMPLATES, got, strict=False))
+            first = first or [g for g, _ in got]
+            assert [g for g, _ in got][: len(TEMPLATES)] == first[: len(TEMPLATES)]
+            if times in (1, 1000):
+                want = [aligned(TEMPLATES, idf, ws) for ws in docs_[-12:]]
+                assert [g for g, _ in got[-12:]] == [g for g, _ in want]
+                assert all(abs(a - b) < 0.1 for (_, a), (_, b) in zip(got[-12:], want, strict=True))
+
+
 # 9: sharding
 
 
