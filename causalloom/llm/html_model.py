@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import random
 import re
 import zlib
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
-from .html_blocks import Block, blocks
+from .html_blocks import PATH_CELLS, Block
 
-PATH_CELLS, WORD_CELLS, NUMBERS, DENSE, HIDDEN_UNITS = 256, 64, 8, 32, 16
+WORD_CELLS, NUMBERS, DENSE, HIDDEN_UNITS = 64, 13, 32, 24
 #: Part of the training pages whose words are hidden, so that paths and context must do.
 WORD_DROPOUT = 0.5
-WORD = re.compile(r"[^\W\d_]+")
+WORD, UPPER, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\b[A-Z]"), re.compile(r"\d+")
 
 
 @lru_cache(maxsize=200_000)
@@ -22,10 +22,9 @@ def _cell(word: str) -> int:
     return zlib.crc32(word.encode()) % WORD_CELLS
 
 
-@lru_cache(maxsize=50_000)
-def _path_cells(path: tuple[str, ...]) -> tuple[int, ...]:
-    """Cells of all steps, and of the deepest block element under its own name."""
-    return tuple({zlib.crc32(x.encode()) % PATH_CELLS for x in path} | {zlib.crc32(b"last:" + path[-1].encode()) % PATH_CELLS if path else 0})
+@lru_cache(maxsize=20_000)
+def _path_vector(path: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(path.to_bytes(PATH_CELLS // 8, "little"), np.uint8), bitorder="little")
 
 
 def vectors(page: list[Block]) -> np.ndarray:
@@ -33,7 +32,7 @@ def vectors(page: list[Block]) -> np.ndarray:
     n = len(page)
     out = np.zeros((n, PATH_CELLS + WORD_CELLS + NUMBERS), np.float32)
     for i, b in enumerate(page):
-        out[i, list(_path_cells(b.path))] = 1.0
+        out[i, :PATH_CELLS] = _path_vector(b.path)
         found = WORD.findall(b.text.lower())
         if found:
             counts = np.bincount(list(map(_cell, found)), minlength=WORD_CELLS)
@@ -41,7 +40,9 @@ def vectors(page: list[Block]) -> np.ndarray:
         size = len(b.text)
         out[i, PATH_CELLS + WORD_CELLS :] = (
             min(len(found), 400) / 400, np.log1p(size) / 10, b.linked / size, sum(map(b.text.count, ".!?")) / (len(found) + 1),
-            i / n, (n - i) / n, min(len(b.path), 20) / 20, 1.0 if n < 4 else 0.0,
+            i / n, (n - i) / n, min(b.depth, 20) / 20, 1.0 if n < 4 else 0.0,
+            1.0 if "\xa9" in b.text or "copyright" in b.text.lower() else 0.0, min(sum(map(b.text.count, "|\xb7\xbb\u2022")), 4) / 4,
+            len(UPPER.findall(b.text)) / (len(found) + 1), len(DIGITS.findall(b.text)) / (len(found) + 1), 1.0 if b.text[-1] in ".!?\u2026" else 0.0,
         )
     return out
 
@@ -175,177 +176,14 @@ def pad(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, mask
 
 
-# Names that pages give to their parts, and words of what is no article.
-GOOD_NAMES = "content article post entry story main body text page article-body post-content entry-content main-content story-body".split()
-BAD_NAMES = {
-    "menu": "menu nav navigation navbar topnav breadcrumb breadcrumbs toc pagination pager tabs mainmenu site-nav nav-links".split(),
-    "header": "header masthead topbar site-header page-header logo branding brand toolbar".split(),
-    "footer": "footer site-footer copyright legal bottom colophon credits page-footer footer-links".split(),
-    "sidebar": "sidebar side aside widget widgets related recommended popular trending right-column left-column tags more-stories see-also rail".split(),
-    "notice": "notice cookie cookies cookie-banner banner consent gdpr alert popup modal overlay announcement disclaimer privacy message".split(),
-    "advert": "ad ads advert advertisement advertising sponsored sponsor promo promotion adsense ad-slot ad-banner commercial".split(),
-    "form": "form search search-form newsletter subscribe subscription login signup sign-in contact-form share social sharing".split(),
-    "comments": "comments comment comment-list comment-body reply replies responses discussion disqus respond thread user-comments reader-comments".split(),
-}
-BAD_WORDS = {
-    "menu": "home about contact products services blog news archive next previous login help".split(),
-    "header": "welcome site official search menu login language home".split(),
-    "footer": "copyright all rights reserved terms privacy policy contact imprint powered".split(),
-    "sidebar": "related popular recent latest posts tags archives categories read more".split(),
-    "notice": "we use cookies accept this site by continuing you agree to our policy".split(),
-    "advert": "buy now sponsored advertisement offer sale discount click here free shipping".split(),
-    "form": "email subscribe name password submit send search newsletter sign up your address".split(),
-    "comments": "reply comment said wrote posted by ago great thanks i agree guest user like".split(),
-}
-# Frequent words of four languages, which say nothing about a block's role.
-FUNCTION_WORDS = [
-    "the of and to in a is that it for on was as with be by at this from or are an but not which".split(),
-    "le la les de des du et un une en que qui dans pour sur par est au ne pas avec plus ce son".split(),
-    "der die das und in zu den von mit ist des im für auf dem nicht ein eine als auch es an bei".split(),
-    "el la los de que y en un una ser se no por con su para como es al lo del las más o".split(),
-]
-TAGS = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "notice": "div", "advert": "div", "form": "form", "comments": "section"}
+#: Fitted weights; html_training writes them.
+WEIGHTS = Path(__file__).with_name("html_weights.npz")
 
 
-class PageMaker:
-    """Invented pages with known labels, for training: many layouts, words of random syllables."""
-
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
-        self.n = 0
-        self.common: list[str] = []
-
-    def word(self) -> str:
-        r = self.r
-        return "".join(r.choice("bcdfghklmnprstvwz") + r.choice(["a", "e", "i", "o", "u", "é", "ü", "ó", "ea", "er"]) + r.choice(["", "", "n", "r", "s", "t"]) for _ in range(r.randint(1, 4)))
-
-    def prose(self, low: int, high: int, words: list[str] | None = None, marks: bool = True) -> str:
-        r, out = self.r, []
-        junk = r.random() < 0.05
-        for i in range(r.randint(low, high)):
-            w = r.choice(words) if words and r.random() < 0.5 else r.choice(self.common) if self.common and r.random() < 0.4 else self.word()
-            w = w.capitalize() if i == 0 or r.random() < 0.05 else w
-            w += r.choice([".", ",", ""]) if marks and r.random() < 0.15 else ""
-            out.append(w + (r.choice(["***", "###", "$$$", "%%%", "&amp;&amp;"]) if junk else ""))
-        return " ".join(out) + ("." if marks and r.random() < 0.8 else "")
-
-    def mark(self, good: bool, text: str) -> str:
-        """Text that carries its label, to be found again after parsing."""
-        self.n += 1
-        return f"\x02{'G' if good else 'B'}\x03{text}"
-
-    def name(self, names: list[str]) -> str:
-        r = self.r
-        x = r.choice(names)
-        if r.random() < 0.2:
-            x += " " + self.word()
-        return r.choice(['class="{}"', 'class="{}"', 'id="{}"', 'class="{}" data-x="1"']).format(x)
-
-    def junk(self, kind: str) -> str:
-        r, words = self.r, BAD_WORDS[kind]
-        named = r.random() < 0.6
-        tag = TAGS[kind] if r.random() < 0.7 and not (TAGS[kind] == "section" and not named) else "div"
-        if tag in ("div", "section"):
-            named = True
-        attrs = " " + self.name(BAD_NAMES[kind]) if named else ""
-        foreign = words if r.random() < 0.6 else None
-        kinds = {"menu": 0, "header": r.choice([0, 1]), "footer": r.choice([0, 1, 1]), "sidebar": r.choice([0, 1, 2]), "form": 3, "comments": 2, "notice": 1, "advert": r.choice([1, 1, 2])}
-        shape = kinds[kind]
-        if shape == 0:
-            item = r.choice(['<li><a href="/x">{}</a></li>'] * 3 + ["<li>{}</li>", '<a href="/x">{}</a> | '])
-            items = "".join(item.format(self.mark(False, self.prose(1, 3, foreign, False))) for _ in range(r.randint(2, 8)))
-            inner = f"<ul>{items}</ul>" if item.startswith("<li") else items
-        elif shape == 1:
-            inner = self.mark(False, r.choice(["", "&copy; "]) + self.prose(2, 25, foreign))
-            inner = r.choice(["{}", "<p>{}</p>", "<span>{}</span>", '<a href="/x">{}</a>']).format(inner)
-        elif shape == 2:
-            k = r.randint(2, 4)
-            head = f"<h{k}>{self.mark(False, self.prose(1, 4, foreign, False))}</h{k}>" if r.random() < 0.6 else ""
-            inner = head + "".join(r.choice(["<p>{}</p>", "<div>{}</div>"]).format(self.mark(False, self.prose(4, 60, foreign))) for _ in range(r.randint(1, 5)))
-        else:
-            inner = f"<label>{self.mark(False, self.prose(1, 4, foreign, False))}</label><input name=q><button>{self.mark(False, self.prose(1, 2, foreign, False))}</button>"
-        return f"<{tag}{attrs}>{inner}</{tag}>"
-
-    def article(self) -> str:
-        r, parts = self.r, []
-        bare = r.random() < 0.2
-        if r.random() < 0.85:
-            title = f"<h1>{self.mark(True, self.prose(2, 14, None, r.random() < 0.5))}</h1>"
-            parts.append(f"<header>{title}</header>" if r.random() < 0.1 else title)
-        for _ in range(r.choice([1, 2, 3, 5, 8, 12, 20, 40])):
-            text = self.mark(True, self.prose(1, r.choice([3, 10, 40, 120, 250])))
-            kind = r.random()
-            if kind < 0.66 and not bare:
-                parts.append(f"<p>{text}</p>" if r.random() < 0.8 else f"<p>{text}")
-            elif kind < 0.66:
-                parts.append(f"<div>{text}</div>")
-            elif kind < 0.72:
-                parts.append(f"<p><b>{text}<br>")
-            elif kind < 0.78:
-                k = r.randint(2, 4)
-                parts.append(f"<h{k}>{text}</h{k}>")
-            elif kind < 0.82:
-                parts.append(f"<blockquote><p>{text}</p></blockquote>" if r.random() < 0.5 else f"<blockquote>{text}</blockquote>")
-            elif kind < 0.87:
-                t = r.choice(["ul", "ol"])
-                parts.append(f"<{t}>" + "".join(f"<li>{self.mark(True, self.prose(1, 20))}</li>" for _ in range(r.randint(1, 5))) + f"</{t}>")
-            elif kind < 0.89:
-                parts.append(f"<pre>{text}</pre>")
-            elif kind < 0.92:
-                parts.append(f"<figure><img src=x><figcaption>{self.mark(True, self.prose(2, 12))}</figcaption></figure>")
-            elif kind < 0.94:
-                parts.append(f"<dl><dt>{self.mark(True, self.prose(1, 3))}</dt><dd>{text}</dd></dl>")
-            elif kind < 0.96:
-                parts.append(f"<section><h2>{self.mark(True, self.prose(1, 6))}</h2><p>{text}</p></section>")
-            else:
-                head = "<tr>" + "".join(f"<th>{self.mark(True, self.prose(1, 3, None, False))}</th>" for _ in range(2)) + "</tr>" if r.random() < 0.5 else ""
-                body = "".join(f"<tr><td>{self.mark(True, self.prose(1, 4))}</td><td>{self.mark(True, self.prose(1, 8))}</td></tr>" for _ in range(r.randint(1, 4)))
-                parts.append(f"<table>{head}{body}</table>")
-        if r.random() < 0.25:
-            parts.insert(r.randint(0, len(parts)), self.junk(r.choice(["advert", "sidebar", "form", "notice"])))
-        tag = r.choice(["article", "article", "article", "main", "div", "section"])
-        attrs = " " + self.name(GOOD_NAMES) if tag in ("div", "section") or r.random() < 0.3 else ""
-        if r.random() < 0.15:
-            return "".join(parts)
-        if tag in ("div", "section") and r.random() < 0.15:
-            attrs = ""
-        out = f"<{tag}{attrs}>{''.join(parts)}</{tag}>"
-        return f"<div {self.name(GOOD_NAMES + ['wrapper', 'container', 'row', 'col'])}>{out}</div>" if r.random() < 0.25 else out
-
-    def page(self) -> str:
-        r = self.r
-        self.common = r.choice(FUNCTION_WORDS) if r.random() < 0.7 else []
-        before = [self.junk(k) for k in ("notice", "header", "menu", "advert", "sidebar") if r.random() < 0.45]
-        after = [self.junk(k) for k in ("form", "comments", "sidebar", "advert", "footer", "notice") if r.random() < 0.45]
-        r.shuffle(before)
-        body = "".join(before) + (self.article() if r.random() < 0.97 else "") + "".join(after)
-        head = f"<head><title>{self.prose(2, 8)}</title><style>p{{}}</style><script>var t=1;</script></head>" if r.random() < 0.9 else ""
-        return f"<!DOCTYPE html><html>{head}<body>{body}</body></html>"
-
-
-MARK = re.compile("\x02([GB])\x03")
-
-
-def labelled(count: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Vectors and labels (1: article) of invented pages."""
-    maker, out = PageMaker(seed), []
-    while len(out) < count:
-        found = blocks(maker.page())
-        labels = []
-        for b in found:
-            marks = MARK.findall(b.text)
-            labels.append(float("B" not in marks))
-            b.text = MARK.sub("", b.text)
-            b.linked = min(b.linked, len(b.text))
-        found, labels = [b for b in found if b.text], [v for b, v in zip(found, labels, strict=True) if b.text]
-        if found:
-            out.append((vectors(found), np.array(labels, np.float32)))
-    return out
-
-
-@lru_cache(maxsize=2)
-def trained(pages: int = 2400, seed: int = 7) -> BlockLabeller:
-    """The labeller, fitted to a fixed number of invented pages: the same for every input."""
-    model = BlockLabeller(seed)
-    model.fit(labelled(pages, seed), seed=seed)
+@lru_cache(maxsize=1)
+def trained() -> BlockLabeller:
+    """The labeller with the weights that html_training has fitted: the same for every input."""
+    model = BlockLabeller()
+    with np.load(WEIGHTS) as held:
+        model.p = {k: held[k].astype(np.float32) for k in held.files}
     return model

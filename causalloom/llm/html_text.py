@@ -23,7 +23,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """page_id, url, text and n_chars of every page, from the whole html.
 
     Each task parses pages into leaf blocks and labels all blocks of a page at once; a
-    page is never cut. Null, empty and text-less pages have an empty text. Repeated rows
+    page is never cut. The weights come with the package (html_training fits them), so
+    nothing is trained here. Null, empty and text-less pages have an empty text. Repeated rows
     and null ids stay; other columns are ignored; an empty table gives no rows. There is
     no shuffle; the model's size is fixed.
     """

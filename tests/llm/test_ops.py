@@ -137,14 +137,44 @@ def test_html_blocks():
 
     page = '<!DOCTYPE html><html><head><title>T</title><script>var x="</p><p>no";</script></head><body><!-- c --><p>One &amp; <b>two</b><br>three<p>Four&#33;<ul><li>a<li><a href="x>y">b</a></ul><div hidden>no</div><p>cut &am'
     got = blocks(page)
-    assert [b.text for b in got] == ["One & two three", "Four!", "a", "b", "no", "cut &am"]
-    assert got[3].linked == 1 and "#hidden" in got[4].path
+    assert [b.text for b in got] == ["One & two three", "Four!", "a", "b", "cut &am"]
+    assert got[3].linked == 1 and got[2].path != got[1].path
     assert blocks(None) == [] == blocks("") and blocks("plain  text")[0].text == "plain text"
     assert blocks("<p>a</p><di")[0].text == "a" and len(blocks("<div>" * 3000 + "x")) == 1
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<p class="a"">Hello world</p><p>more</p>', ["Hello world", "more"]),
+    ("<p title=don't>Hello</p><p>It is more</p>", ["Hello", "It is more"]),
+    ("""<p a = "x>y" b='>'>t</p><p =>u</p><p a==b>v<p/>w""", ["t", "u", "v", "w"]),
+    ('<p><a b="un>tail</a> <p>x</p>', ["tail", "x"]),
+    ('<p>a<span style="display: none">b</span>c</p><div hidden>d<p>e</p></div><div aria-hidden="true">f</div>g', ["a", "c", "g"]),
+    ("x < y and <3 z", ["x < y and <3 z"]),
+])
+def test_html_tags_of_odd_markup(page, want):
+    from causalloom.llm.html_blocks import blocks
+
+    assert [b.text for b in blocks(page)] == want
+
+
+def test_html_nesting_takes_linear_time():
+    import time
+
+    from causalloom.llm.html_blocks import blocks
+
+    def seconds(n, unit):
+        began = time.process_time()
+        blocks(unit * n + "x")
+        return time.process_time() - began
+
+    for unit in ("<div>", "<div>y", "<p><i>", "<ul><li>", '<p a="', "<b></i>"):
+        seconds(2000, unit)
+        assert seconds(100_000, unit) < 20 * seconds(20_000, unit) + 0.5
+
+
 def test_html_gradients():
-    from causalloom.llm.html_model import BlockLabeller, labelled, pad
+    from causalloom.llm.html_model import BlockLabeller, pad
+    from causalloom.llm.html_training import labelled
 
     m = BlockLabeller(1)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
@@ -171,13 +201,19 @@ def test_html_gradients():
 def test_html_extraction(spark, sf_dir):
     import html
 
-    from causalloom.llm.html_model import labelled, trained
+    from causalloom.llm.html_model import trained
     from causalloom.llm.html_text import extract_text
+    from causalloom.llm.html_training import PageMaker, fitted, labelled, wrong
 
     model = trained()
-    held = labelled(200, 12345)
-    wrong = sum(int((a != (y > 0)).sum()) for a, (_, y) in zip(model.label([v for v, _ in held]), held, strict=True))
-    assert wrong < 0.02 * sum(len(y) for _, y in held)
+    for family in PageMaker.FAMILIES:
+        assert wrong(model, labelled(100, 12345, (family,))) < 0.05
+    assert wrong(fitted(500, 4, ("semantic", "tables", "coded", "portal")), labelled(100, 5, ("bare",))) < 0.15  # a family that the fit has not seen
+    table = "<table><tr><td>Home | About | Contact</td></tr><tr><td><p>The river rose over night and the villages below the dam were flooded.</p></td></tr><tr><td>Copyright 2020 Acme</td></tr></table>"
+    long = "<div>" * 5000 + "".join(f"<p>{prose(i, 30)}</p>" for i in range(300))
+    two = spark.createDataFrame([(1, "u", table), (2, "u", long)], "page_id long, url string, html string")
+    first, second = [r.text for r in extract_text(two).orderBy("page_id").collect()]
+    assert first == "The river rose over night and the villages below the dam were flooded." and len(second.split("\n\n")) > 290
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in extract_text(pages).collect()}
     right = 0
