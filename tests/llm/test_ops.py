@@ -209,11 +209,11 @@ def test_html_extraction(spark, sf_dir):
     for family in PageMaker.FAMILIES:
         assert wrong(model, labelled(100, 12345, (family,))) < 0.05
     assert wrong(fitted(500, 4, ("semantic", "tables", "coded", "portal")), labelled(100, 5, ("bare",))) < 0.15  # a family that the fit has not seen
-    table = "<table><tr><td>Home | About | Contact</td></tr><tr><td><p>The river rose over night and the villages below the dam were flooded.</p></td></tr><tr><td>Copyright 2020 Acme</td></tr></table>"
+    table = "<table><tr><td>Home | About | Contact</td></tr><tr><td><p>The river rose over night and the villages below the dam were flooded.</p><p>Two roads are still closed, officials said on Monday.</p></td></tr><tr><td>Copyright 2020 Acme</td></tr></table>"
     long = "<div>" * 5000 + "".join(f"<p>{prose(i, 30)}</p>" for i in range(300))
     two = spark.createDataFrame([(1, "u", table), (2, "u", long)], "page_id long, url string, html string")
     first, second = [r.text for r in extract_text(two).orderBy("page_id").collect()]
-    assert first == "The river rose over night and the villages below the dam were flooded." and len(second.split("\n\n")) > 290
+    assert first == "The river rose over night and the villages below the dam were flooded.\n\nTwo roads are still closed, officials said on Monday." and len(second.split("\n\n")) > 290
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in extract_text(pages).collect()}
     right = 0
