@@ -6,11 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
+_written: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def visible(spark: SparkSession) -> None:
@@ -64,4 +66,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() returned, once all that was made of them is written; nothing may read them any more."""
+    for df in tables:
+        ref, path = _written.pop(id(df), (None, None))
+        if path is not None and ref() is df:
+            _forget(df.sparkSession, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from causalloom.functions.runtime import materialize
+from causalloom.functions.runtime import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("to"))
         above = labels.select(F.col("node").alias("to"), F.col("root").alias("above"))
         moved = least.join(above, "to").select("node", F.col("above").alias("new"), (F.col("above") != F.col("root")).alias("moved"))
-        seen = Observation()
+        seen, last = Observation(), labels
         labels = materialize(moved.observe(seen, F.count_if("moved").alias("n")).select("node", F.col("new").alias("root")), "labels")
         changed = seen.get["n"]
+        discard(last)
+    discard(both)
     return labels
