@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalloom.functions.runtime import materialize, shared_dir, visible
+from causalloom.functions.runtime import discard, materialize, shared_dir, visible
 
-__all__ = ["let", "materialize", "meet", "salted", "shared_dir", "table"]
+__all__ = ["discard", "let", "materialize", "meet", "salted", "shared_dir", "table"]
 
 #: A key with over 1 / HOT_PARTS of a table's rows is hot; there are at most HOT_PARTS of these.
 HOT_PARTS = 10_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, meet
+from .common import discard, let, materialize, meet
 
 #: Inside a run of repeated lines a chunk ends where the rolling hash over a line and the one before is 0 modulo this.
 DIVISOR = 2
@@ -95,6 +95,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, passage_words: int | No
     wanted = wanted.select(F.col("id").alias("__dedup_wid"), F.col("key").alias("__dedup_wkey"), F.col("maybe").alias(MINE))
     same = (rows[KEY] == F.col("__dedup_wkey")) & rows[id_col].cast("long").eqNullSafe(F.col("__dedup_wid"))
     held = materialize(rows.join(wanted, same, "left").select(*[rows[c] for c in docs.columns], KEY, MINE), "line-texts")
+    discard(hashed, twice)
     some = held.where(F.col(MINE).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(KEY).alias("key"), F.col(text_col).cast("string").alias("t"), F.col(MINE).alias("maybe"))
     found = let(F.split("t", "\n"), lambda lines: F.transform(
         _chunks(lines, F.col("maybe"), passage_words), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.array_join(F.slice(lines, x["s"] + 1, x["e"] - x["s"] + 1), "\n").alias("c")),

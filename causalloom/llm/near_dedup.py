@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from causalloom.operators.components import components
 
-from .common import materialize, meet, salted
+from .common import discard, materialize, meet, salted
 from .shingles import Block, ConsistentSampler, Idf, WordHash, counted, packed, unpacked, weighted_jaccard
 
 THRESHOLD, BANDS, ROWS = 0.8, 15, 3
@@ -190,9 +190,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     each = materialize(_sets(rows), "shingles")
     total = each.count()
     idf = spark.sparkContext.broadcast(frequent_shingles(each, total))
-    nodes = materialize(each.groupBy("th").agg(F.min("id").alias("id"), F.min("row").alias("node"), F.count("*").alias("n")), "nodes")
+    names = materialize(each.select("row", "id", "th"), "names")
+    nodes = materialize(names.groupBy("th").agg(F.min("id").alias("id"), F.min("row").alias("node"), F.count("*").alias("n")), "nodes")
     one = each.select(F.col("row").alias("node"), "h", "many").join(nodes.select("node"), "node")
     sets = materialize(_signed(one, idf, BANDS, ROWS), "sets")
+    discard(each)
     member = sets.where(F.col("bands").isNotNull()).select("node", "size", F.posexplode("bands")).select("node", "size", F.xxhash64("pos", "col").alias("bucket"))
     draws = [F.min(F.struct(F.xxhash64("node", "bucket", F.lit(i)), F.col("node"))).alias(f"l{i}") for i in range(LEADERS)]
     lead = member.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), *draws).where(F.col("n") > 1)
@@ -211,8 +213,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
-    named = nodes.join(roots, "node", "left")
-    return each.select("id", "th"), materialize(named.select("th", "node", "id", "n", F.coalesce("root", "node").alias("root")), "classes")
+    named = materialize(nodes.join(roots, "node", "left").select("th", "node", "id", "n", F.coalesce("root", "node").alias("root")), "classes")
+    discard(sets, met, lead, best, nodes)
+    return names.select("id", "th"), named
 
 
 def _blocks(texts: Column, shingles: Column) -> Column:
