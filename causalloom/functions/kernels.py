@@ -237,23 +237,47 @@ def normal_quantile(p: np.ndarray) -> np.ndarray:
 # Polynomials of Royston's (1992, 1995) approximation to the Shapiro-Wilk test.
 ROYSTON_LAST = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
 ROYSTON_NEXT = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
+ROYSTON_FEW = ([0.5440, -0.39978, 0.025054, -0.0006714], [1.3822, -0.77857, 0.062767, -0.0020322], (-2.273, 0.459))
+ROYSTON_MANY = ([-1.5861, -0.31082, -0.083751, 0.0038915], [-0.4803, -0.082676, 0.0030302])
+
+
+def _poly(c: list[float], x: float) -> float:
+    return sum(k * x**i for i, k in enumerate(c))
+
+
+def _shapiro_weights(n: int) -> np.ndarray:
+    if n == 3:
+        return np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    m = normal_quantile((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+    mm, u = float(m @ m), 1 / math.sqrt(n)
+    last = m[-1] / math.sqrt(mm) + _poly(ROYSTON_LAST, u)
+    if n <= 5:
+        a = m * math.sqrt((1 - 2 * last**2) / (mm - 2 * m[-1] ** 2))
+    else:
+        prev = m[-2] / math.sqrt(mm) + _poly(ROYSTON_NEXT, u)
+        a = m * math.sqrt((1 - 2 * last**2 - 2 * prev**2) / (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2))
+        a[-2], a[1] = prev, -prev
+    a[-1], a[0] = last, -last
+    return a
 
 
 def shapiro(x: np.ndarray) -> tuple[float, float]:
-    """Shapiro-Wilk W and p value for 12 values or more."""
+    """Shapiro-Wilk W and p value for 3 values or more: exact for 3, by one normalising transform up to 11, by another beyond."""
     x = np.sort(np.asarray(x, float))
     n = len(x)
-    if n < 12 or x[0] == x[-1]:
+    if n < 3 or x[0] == x[-1]:
         raise ValueError("too few or constant values")
-    m = normal_quantile((np.arange(1, n + 1) - 0.375) / (n + 0.25))
-    mm, u = float(m @ m), 1 / math.sqrt(n)
-    last = m[-1] / math.sqrt(mm) + sum(c * u**i for i, c in enumerate(ROYSTON_LAST))
-    prev = m[-2] / math.sqrt(mm) + sum(c * u**i for i, c in enumerate(ROYSTON_NEXT))
-    phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * prev**2)
-    a = m / math.sqrt(phi)
-    a[-1], a[-2], a[0], a[1] = last, prev, -last, -prev
-    w = float((a @ x) ** 2 / ((x - x.mean()) @ (x - x.mean())))
+    a = _shapiro_weights(n)
+    w = min(1.0, float((a @ x) ** 2 / ((x - x.mean()) @ (x - x.mean()))))
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    y = math.log(max(1 - w, 1e-300))
+    if n <= 11:
+        mean, dev, (g0, g1) = ROYSTON_FEW
+        gap = g0 + g1 * n - y
+        if gap <= 0:
+            return w, 1e-19
+        return w, 1 - normal_cdf((-math.log(gap) - _poly(mean, n)) / math.exp(_poly(dev, n)))
     z = math.log(n)
-    mean = -1.5861 - 0.31082 * z - 0.083751 * z**2 + 0.0038915 * z**3
-    dev = math.exp(-0.4803 - 0.082676 * z + 0.0030302 * z**2)
-    return w, 1 - normal_cdf((math.log(max(1 - w, 1e-300)) - mean) / dev)
+    mean, dev = ROYSTON_MANY
+    return w, 1 - normal_cdf((y - _poly(mean, z)) / math.exp(_poly(dev, z)))

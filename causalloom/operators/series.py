@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES = ["service", "metric"]
@@ -60,12 +60,17 @@ def on_grid(binned: DataFrame, step: str = "500 milliseconds") -> DataFrame:
     return grid.join(binned, [*SERIES, "bin"], "left")
 
 
+def _known_around(grid: DataFrame, value: Column, previous: str, following: str) -> DataFrame:
+    """grid with the last known value up to each row and the first from it on, both as growing frames: linear in a series."""
+    upto = Window.partitionBy(*SERIES).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*SERIES).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    return grid.withColumns({previous: F.last(value, True).over(upto), following: F.last(value, True).over(down)})
+
+
 def interpolate(grid: DataFrame) -> DataFrame:
     """Linear in time between known values, clamped to the nearest at both ends; all-null series stay null."""
-    before = Window.partitionBy(*SERIES).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*SERIES).orderBy("bin").rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col("value").isNotNull(), F.struct(F.unix_micros(F.col("bin").cast("timestamp")).alias("t"), F.col("value").alias("v")))
-    rows = grid.withColumns({"p": F.last(known, True).over(before), "n": F.first(known, True).over(after)})
+    rows = _known_around(grid, known, "p", "n")
     t = F.unix_micros(F.col("bin").cast("timestamp"))
     between = F.col("p.v") + (F.col("n.v") - F.col("p.v")) * (t - F.col("p.t")) / (F.col("n.t") - F.col("p.t"))
     filled = F.coalesce("value", F.when(F.col("p").isNull(), F.col("n.v")).when(F.col("n").isNull(), F.col("p.v")).otherwise(between))
@@ -74,10 +79,7 @@ def interpolate(grid: DataFrame) -> DataFrame:
 
 def fill_both(grid: DataFrame) -> DataFrame:
     """Backward fill, then forward fill."""
-    w = Window.partitionBy(*SERIES).orderBy("bin")
-    nxt = F.first("value", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    prv = F.last("value", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return grid.select(*SERIES, "bin", F.coalesce(nxt, prv).alias("value"))
+    return _known_around(grid, F.col("value"), "p", "n").select(*SERIES, "bin", F.coalesce("n", "p").alias("value"))
 
 
 def classify(regular: DataFrame) -> DataFrame:

@@ -79,7 +79,8 @@ def time_range_scan(spark, d):
 
 @query("SELECT * FROM (" + S + ") WHERE regexp_matches(service || '|' || metric, '^(click|view).*[135]$')")
 def regex_filter(spark, d):
-    return samples(spark, d).where(F.concat("service", F.lit("|"), "metric").rlike("^(click|view).*[135]$"))
+    named = samples(spark, d).withColumn("name", F.concat("service", F.lit("|"), "metric"))
+    return series.matching(named, "^(click|view).*[135]$", "name").drop("name")
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus AS tag, o_totalprice AS price, NULL::DOUBLE AS balance FROM orders UNION ALL SELECT c_custkey, NULL, NULL, c_acctbal FROM customer")
@@ -145,6 +146,11 @@ def zscore_pop(spark, d):
     return series.zscore(regular(spark, d)).select("service", "metric", "bin", r("z"))
 
 
+@query(FILLED + " SELECT service, metric, bin, round(coalesce((value - avg(value) OVER p) / nullif(stddev_samp(value) OVER p, 0), 0), 6) + 0.0 AS z FROM f WINDOW p AS (PARTITION BY service, metric)")
+def zscore_sample(spark, d):
+    return series.zscore(regular(spark, d), ddof=1).select("service", "metric", "bin", r("z"))
+
+
 @query("WITH s AS (" + S + "), l AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01') AS bin, avg(value) AS v FROM s WHERE service = 'click' GROUP BY ALL), q AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01') AS bin, avg(value) AS v FROM s WHERE service = 'purchase' GROUP BY ALL) SELECT coalesce(l.bin, q.bin) AS bin, round(l.v, 6) + 0.0 AS left_value, round(q.v, 6) + 0.0 AS right_value FROM l FULL OUTER JOIN q ON l.bin = q.bin")
 def align_two(spark, d):
     return series.align(samples(spark, d), "click", "purchase", "1 hour").select("bin", r("left_value"), r("right_value"))

@@ -103,3 +103,45 @@ def test_silhouette():
     assert K.silhouette(d, np.array([0, 0, 0, 0])) == -1 == K.silhouette(d, np.array([0, 1, 2, 3]))
     assert K.silhouette(d, np.array([0, 0, 1, 1])) > 0.8
     assert abs(K.silhouette(d, np.array([0, 0, 0, 1]))) <= 1
+
+
+# Published examples (the 11 weights of Shapiro and Wilk 1965; tables of F).
+def test_shapiro_of_few_values():
+    w, p = K.shapiro([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    assert abs(w - 0.79) < 0.005 and 0.005 < p < 0.008
+    w, p = K.shapiro([1, 2, 3])
+    assert abs(w - 1) < 1e-12 and abs(p - 1) < 1e-6
+    w, p = K.shapiro([0, 0, 1])
+    assert abs(w - 0.75) < 1e-12 and abs(p) < 1e-9
+    rng = np.random.default_rng(2)
+    for n in (4, 5, 7, 11, 12, 40):  # under the null, p is near uniform
+        ps = np.array([K.shapiro(rng.standard_normal(n))[1] for _ in range(400)])
+        assert abs((ps < 0.1).mean() - 0.1) < 0.05 and abs(np.median(ps) - 0.5) < 0.1
+
+
+def test_f_tail_of_tables():
+    for f, d1, d2, p in ((4.9646, 1, 10, 0.05), (3.4928, 2, 20, 0.05), (4.1708, 1, 30, 0.05), (5.6363, 5, 10, 0.01), (3.8183, 4, 21, 0.0176)):
+        assert abs(K.f_tail(f, d1, d2) - p) < 3e-4
+
+
+def test_granger_by_partial_regression():
+    """F from the residuals of effect and lagged causes on the effect's own past, by normal equations; p by integrating the density."""
+    from math import lgamma
+
+    rng = np.random.default_rng(3)
+    cause = rng.standard_normal(160)
+    effect = np.convolve(cause, [0, 0.3, 0.2], "full")[:160] + rng.standard_normal(160)
+    for lags in range(1, 6):
+        n = 160 - lags
+        y = effect[lags:]
+        own = np.column_stack([np.ones(n)] + [effect[lags - i : 160 - i] for i in range(1, lags + 1)])
+        other = np.column_stack([cause[lags - i : 160 - i] for i in range(1, lags + 1)])
+        keep = np.eye(n) - own @ np.linalg.solve(own.T @ own, own.T)
+        ry, rx = keep @ y, keep @ other
+        gain = ry @ rx @ np.linalg.solve(rx.T @ rx, rx.T @ ry)
+        dof = n - 2 * lags - 1
+        want = gain / lags / ((ry @ ry - gain) / dof)
+        x = np.linspace(0, want, 200_001)[1:] - want / 400_000
+        log = lgamma((lags + dof) / 2) - lgamma(lags / 2) - lgamma(dof / 2) + lags / 2 * np.log(lags / dof) + (lags / 2 - 1) * np.log(x) - (lags + dof) / 2 * np.log1p(lags * x / dof)
+        f, p = K.granger(effect, cause, lags)
+        assert abs(f - want) < 1e-8 * want and abs(p - (1 - np.exp(log).sum() * want / 200_000)) < 2e-3

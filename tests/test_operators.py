@@ -268,3 +268,21 @@ def test_gap_is_finite(spark):
     rng = np.random.default_rng(1)
     s = spark.createDataFrame([("s", f"m{i}", rng.standard_normal(16).tolist()) for i in range(6)], "service string, metric string, v array<double>")
     assert all(np.isfinite(r.gap) for r in clustering.gap_statistic(s, [2, 3], 3).collect())
+
+
+def test_interpolation_takes_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from causalloom.operators import series
+
+    def seconds(n):
+        grid = spark.range(n).select(F.lit("s").alias("service"), F.lit("m").alias("metric"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("bin"), F.when(F.col("id") % 7 == 0, F.col("id").cast("double")).alias("value"))
+        began = time.time()
+        assert series.interpolate(grid).where(F.col("value") != F.least(F.unix_seconds(F.col("bin").cast("timestamp")), F.lit((n - 1) // 7 * 7))).count() == 0
+        assert series.fill_both(grid).where(F.col("value").isNull()).count() == 0
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 2.5 * seconds(20_000) + 2
