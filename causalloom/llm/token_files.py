@@ -1,7 +1,8 @@
 """Token ids as Arrow stream files of fixed-size-list batches, for zero-copy random access.
 
 A file holds equal-length sequences: column `ids` is fixed_size_list<uint16 or uint32>[L],
-column `mask` fixed_size_list<uint8>[L] (0 on the padding at the file's end, else 1). An index
+column `mask` a dictionary of fixed_size_list<uint8>[L] (0 on the padding at the file's
+end, else 1), so that the many equal masks lie in the file once. An index
 beside it (`.index.arrow`) has a row per document: doc_id, start in the file, n_tokens.
 """
 
@@ -44,7 +45,7 @@ class TokenFileWriter:
 
         self.temporary = f"{self.path}.{uuid.uuid4().hex}.tmp"
         value = pa.uint32() if wide else pa.uint16()
-        self.schema = pa.schema([("ids", pa.list_(value, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+        self.schema = pa.schema([("ids", pa.list_(value, sequence)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), sequence)))])
         self.sink = self.fs.open_output_stream(self.temporary)
         self.stream = pa.ipc.new_stream(self.sink, self.schema)
         self.held: list[np.ndarray] = []
@@ -65,14 +66,18 @@ class TokenFileWriter:
     def _write(self, most: int) -> None:
         flat = np.concatenate(self.held)
         head, tail = flat[:most], flat[most:]
-        pad = -len(head) % self.n
-        mask = np.ones(len(head) + pad, np.uint8)
+        pad = -len(head) % self.n  # only at the file's end
         if pad:
             head = np.concatenate([head, np.zeros(pad, self.kind)])
-            mask[-pad:] = 0
-        cols = [pa.FixedSizeListArray.from_arrays(pa.array(head), self.n), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.n)]
-        for at in range(0, len(cols[0]), BATCH_SEQUENCES):
-            self.stream.write_batch(pa.RecordBatch.from_arrays([c.slice(at, BATCH_SEQUENCES) for c in cols], schema=self.schema))
+        ids = pa.FixedSizeListArray.from_arrays(pa.array(head), self.n)
+        for at in range(0, len(ids), BATCH_SEQUENCES):
+            part = ids.slice(at, BATCH_SEQUENCES)
+            masks, which = np.ones((1 + bool(pad), self.n), np.uint8), np.zeros(len(part), np.int8)
+            if pad:
+                masks[1, -pad:] = 0
+                which[-1] = at + BATCH_SEQUENCES >= len(ids)
+            mask = pa.DictionaryArray.from_arrays(pa.array(which), pa.FixedSizeListArray.from_arrays(pa.array(masks.reshape(-1)), self.n))
+            self.stream.write_batch(pa.RecordBatch.from_arrays([part, mask], schema=self.schema))
         self.held, self.count = [tail] if len(tail) else [], len(tail)
 
     def close(self) -> None:
@@ -102,22 +107,25 @@ class TokenFile:
         with fs.open_input_stream(f"{path}.index.arrow") as f:
             self.index = pa.ipc.open_stream(f).read_all()
 
-    def _flat(self, batch: int, column: str) -> pa.Array:
-        col = self.batches[batch].column(column)
+    def _place(self, i: int) -> tuple[int, int]:
+        b = int(np.searchsorted(self.first, i, "right")) - 1
+        return b, i - int(self.first[b])
+
+    def _flat(self, batch: int) -> pa.Array:
+        col = self.batches[batch].column("ids")
         return col.values.slice(col.offset * self.n, len(col) * self.n)
 
     def sequence(self, i: int) -> np.ndarray:
         """The ids of sequence i, a view of the file."""
-        return self._view(i, "ids")
+        b, at = self._place(i)
+        return self._flat(b).slice(at * self.n, self.n).to_numpy(zero_copy_only=True)
 
     def mask(self, i: int) -> np.ndarray:
         """1 for each id of sequence i that is a token, 0 for padding; a view of the file."""
-        return self._view(i, "mask")
-
-    def _view(self, i: int, column: str) -> np.ndarray:
-        b = int(np.searchsorted(self.first, i, "right")) - 1
-        at = (i - int(self.first[b])) * self.n
-        return self._flat(b, column).slice(at, self.n).to_numpy(zero_copy_only=True)
+        b, at = self._place(i)
+        col = self.batches[b].column("mask")
+        masks = col.dictionary
+        return masks.values.slice((masks.offset + col.indices[at].as_py()) * self.n, self.n).to_numpy(zero_copy_only=True)
 
     def tokens(self, start: int, count: int) -> np.ndarray:
         """Ids start to start + count of the file, over batches."""
@@ -125,7 +133,7 @@ class TokenFile:
         b = int(np.searchsorted(self.first * self.n, start, "right")) - 1
         while start < end:
             base = int(self.first[b]) * self.n
-            flat = self._flat(b, "ids").to_numpy(zero_copy_only=True)
+            flat = self._flat(b).to_numpy(zero_copy_only=True)
             part = flat[start - base : end - base]
             parts.append(part)
             start += len(part)

@@ -254,6 +254,10 @@ def test_token_files(spark, tmp_path, real):
     f = TokenFile(manifest.first().path)
     first = [i for r in sorted(want) for i in want[r][3]][:128]
     assert f.sequence(1).tolist() == first[64:] and f.sequence(0).base is not None and f.mask(0).all() and f.mask(0).base is not None and not f.mask(0).flags.writeable
+    last = TokenFile(manifest.orderBy(F.desc("file")).first().path)
+    n = int(last.first[-1])
+    tokens = int(last.index["n_tokens"].to_numpy().sum())
+    assert sum(int(last.mask(i).sum()) for i in range(n)) == tokens and last.mask(n - 1).tolist() == [1] * (tokens - 64 * (n - 1)) + [0] * (64 * n - tokens)
     assert f.sequence(0).dtype == np.uint16 and f.tokens(10, 20).tolist() == first[10:30]
     assert read_tokens(write_tokens(d.limit(0), P.path("word_bpe_49k.json"), f"file://{tmp_path}/e")).count() == 0
     nulls = docs(spark, ["a", "a", None], [None, 5, 5])
