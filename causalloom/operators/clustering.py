@@ -73,6 +73,24 @@ def name_clusters(pairs: DataFrame, names: DataFrame, distance: float) -> DataFr
     return names.join(roots.withColumnsRenamed({"node": "name", "root": "label"}), "name", "left").select("name", F.coalesce("label", "name").alias("label"))
 
 
+def name_clusters_to(pairs: DataFrame, names: DataFrame, size: int) -> DataFrame:
+    """Single-linkage clusters of names, cut at the least distance that leaves `size` clusters at most.
+
+    Distances are halved by their exact median until one is left, so cuts grow with the
+    logarithm of their number. If no distance gives so few, the largest one cuts.
+    """
+    total, levels = names.count(), pairs.select("d").where(F.col("d").isNotNull()).distinct()
+    low, high = float("-inf"), levels.agg(F.max("d")).first()[0]
+    if total <= size or high is None:
+        return names.select("name", F.col("name").alias("label"))
+    while (cut := levels.where((F.col("d") > low) & (F.col("d") < high)).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)")).first()[0]) is not None:
+        if name_clusters(pairs, names, cut).select("label").distinct().count() <= size:
+            high = cut
+        else:
+            low = cut
+    return name_clusters(pairs, names, high)
+
+
 def gap_statistic(series: DataFrame, ks: list[int], references: int = 20, seed: int = 7) -> DataFrame:
     """Per service and k: log of the mean dispersion of uniform reference sets, less the log of the data's own."""
 

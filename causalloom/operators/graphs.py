@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from causalloom.functions.runtime import materialize
@@ -50,14 +50,24 @@ def split_names(causality: DataFrame) -> DataFrame:
     return causality.withColumns(parts("perpetrator", "p") | parts("consequence", "c"))
 
 
-def filter_edges(rows: DataFrame, excluded_services: list[str] = (), excluded_metrics: list[str] = (), clustered: DataFrame | None = None, compat: bool = False) -> DataFrame:
-    """Without excluded services and metrics (their -diff ending aside), and only clustered services if given."""
+def filter_edges(rows: DataFrame, excluded_services: list[str] = (), excluded_metrics: list[str] = (), clustered: DataFrame | None = None, compat: bool = False, included: list[str] | None = None) -> DataFrame:
+    """Without excluded services and metrics (their -diff ending aside), and only clustered services if given.
+
+    included: an edge stays if the part before _ of either end's service stands in any of these names.
+    """
     from causalloom.functions.names import strip_diff
 
     if excluded_services:
         rows = rows.where(~F.col("p_service").isin(*excluded_services) & ~F.col("c_service").isin(*excluded_services))
     if excluded_metrics:
         rows = rows.where(~strip_diff(F.col("p_metric"), compat).isin(*excluded_metrics) & ~strip_diff(F.col("c_metric"), compat).isin(*excluded_metrics))
+    if included is not None:
+        listed = F.array(*map(F.lit, included)).cast("array<string>")
+
+        def listed_in(service: str) -> Column:
+            return F.exists(listed, lambda name: F.contains(name, F.substring_index(service, "_", 1)))
+
+        rows = rows.where(listed_in("p_service") | listed_in("c_service"))
     if clustered is not None:
         ok = clustered.where(F.col("preferred_k") != 0).select("service")
         rows = rows.join(ok.toDF("p_service"), "p_service", "left_semi").join(ok.toDF("c_service"), "c_service", "left_semi")
@@ -125,9 +135,18 @@ def pvalue_histogram(causality: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 4),
 
 
 def distinct_arcs(arcs: DataFrame, order: str = "line") -> DataFrame:
-    """Arcs (src, dst, w): of equal (src, dst) the first by `order`; arcs without an order column are dropped by least weight."""
+    """Arcs (src, dst, w): of equal (src, dst) the first by `order`, of several there the least weight; without that column the least weight."""
     key = order if order in arcs.columns else "w"
-    return arcs.groupBy("src", "dst").agg(F.min_by("w", key).alias("w"))
+    return arcs.groupBy("src", "dst").agg(F.min_by("w", F.struct(key, F.col("w").alias("then"))).alias("w"))
+
+
+def first_seen(arcs: DataFrame) -> DataFrame:
+    """(node, seen) of arcs (line, src, dst): seen grows in the order in which lines name nodes, sources before targets.
+
+    It orders nodes without a window over all of them; it is not dense.
+    """
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), (F.col("line") * 2).alias("seen")), F.struct(F.col("dst").alias("node"), (F.col("line") * 2 + 1).alias("seen"))))
+    return arcs.select(ends.alias("e")).groupBy("e.node").agg(F.min("e.seen").alias("seen"))
 
 
 def numeric_nodes(arcs: DataFrame) -> DataFrame:

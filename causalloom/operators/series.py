@@ -36,6 +36,14 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def merged(*sources: DataFrame, ts: str = "ts") -> DataFrame:
+    """Rows of all sources in time order, with `source`, their place among the arguments; at equal times the earlier source comes first.
+
+    Null times come first. A range exchange sorts, so no task holds more than its range.
+    """
+    return union_sources(*[s.withColumn("source", F.lit(i)) for i, s in enumerate(sources)]).orderBy(ts, "source")
+
+
 def wide_to_long(rows: DataFrame, service: str, fields: list[str], ts: str = "time") -> DataFrame:
     """Wide rows as long samples; NaN counts as null, nulls are left out."""
     long = rows.select(F.lit(service).alias("service"), F.col(ts).cast("timestamp_ntz").alias("ts"), *[F.col(f"`{f}`").cast("double").alias(f) for f in fields])

@@ -620,15 +620,8 @@ def influx_parse(spark, d):
 # --- further operators --------------------------------------------------------------------
 
 
-@query("SELECT vec_id, k::INT AS k, list_aggregate(list_transform(range(1, 9), lambda i: (CASE WHEN i - k BETWEEN 1 AND 8 THEN round(embedding[i - k]::DOUBLE, 4) ELSE 0 END)::DECIMAL(9, 4)::VARCHAR), 'string_agg', ',') AS rolled FROM (SELECT vec_id, embedding[1:8] AS embedding, unnest([-3, 2, 9]) AS k FROM embeddings)")
-def zero_pad_roll(spark, d):
-    e = _t(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("x"), F.explode(F.array(F.lit(-3), F.lit(2), F.lit(9))).alias("k"))
-    rolled = F.transform(distance.shifted(F.col("x"), F.col("k")), lambda v: F.round(v, 4).cast("decimal(9,4)").cast("string"))
-    return e.select("vec_id", "k", F.array_join(rolled, ",").alias("rolled"))
-
-
 @query("SELECT vec_id, k::INT AS k, list_aggregate(list_transform(range(1, len(embedding) + 1), lambda i: (CASE WHEN i - k BETWEEN 1 AND len(embedding) THEN round(embedding[i - k]::DOUBLE, 4) ELSE 0 END)::DECIMAL(9, 4)::VARCHAR), 'string_agg', ',') AS rolled FROM (SELECT vec_id, embedding, unnest([-3, 2, 65]) AS k FROM embeddings)")
-def zero_pad_roll_whole(spark, d):
+def zero_pad_roll(spark, d):
     e = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.explode(F.array(F.lit(-3), F.lit(2), F.lit(65))).alias("k"))
     rolled = F.transform(distance.shifted(F.col("x"), F.col("k")), lambda v: F.round(v, 4).cast("decimal(9,4)").cast("string"))
     return e.select("vec_id", "k", F.array_join(rolled, ",").alias("rolled"))
@@ -676,3 +669,129 @@ def status_lines(spark, d):
 @query(CL + " SELECT service, cluster, CASE WHEN length(representative) > 11 THEN left(representative, 5) || '::' || right(representative, 6) ELSE representative END || ':' || chr(10) || CASE WHEN len(metrics) <= 3 THEN list_aggregate(metrics, 'string_agg', ', ') WHEN len(metrics) <= 6 THEN list_aggregate(metrics[1:3], 'string_agg', ', ') || chr(10) || list_aggregate(metrics[4:6], 'string_agg', ', ') ELSE list_aggregate(metrics[1:3], 'string_agg', ', ') || chr(10) || list_aggregate(metrics[4:6], 'string_agg', ', ') || chr(10) || list_aggregate(metrics[7:9], 'string_agg', ', ') END AS cell FROM cl WHERE version = 'f'")
 def metric_table(spark, d):
     return writers.metric_table(clusters(spark, d).where("version = 'f'"))
+
+
+CELLS = "' ' || chr(9) || 'export ' || upper(event_type) || '=\"' || user_id || '\"' || chr(9)"
+
+
+@query(f"SELECT event_id, trim({CELLS}, ' ' || chr(9)) AS trimmed, upper(event_type) AS key, user_id::VARCHAR AS value, round(value * 1000, 3) + 0.0 AS ms, date_trunc('second', ts) AS at FROM events")
+def parsed_cells(spark, d):
+    e = _t(spark, d, "events")
+    line = names.trim_blank(F.concat(F.lit(" \texport "), F.upper("event_type"), F.lit('="'), F.col("user_id").cast("string"), F.lit('"\t')))
+    kv = names.key_value(line)
+    at = names.parse_time(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+    return e.select("event_id", line.alias("trimmed"), kv["key"].alias("key"), kv["value"].alias("value"), (names.elapsed_ms(F.col("value")) + 0.0).alias("ms"), at.alias("at"))
+
+
+@query("SELECT 'lines' AS service, l_shipdate::TIMESTAMP AS ts, unnest(['l_quantity', 'l_tax']) AS metric, unnest([l_quantity::DOUBLE, l_tax::DOUBLE]) AS value FROM lineitem")
+def field_projection(spark, d):
+    return series.wide_to_long(_t(spark, d, "lineitem"), "lines", ["l_quantity", "l_tax"], "l_shipdate").select("service", "ts", "metric", "value")
+
+
+@query(FILLED + KINDS + " SELECT service, metric, count(value) AS n, round(var_samp(value), 6) + 0.0 AS variance FROM x GROUP BY ALL HAVING count(value) > 0 AND var_samp(value) <> 0")
+def informative_series(spark, d):
+    return diagnostics.informative(kinds(spark, d)).select("service", "metric", "n", r("variance"))
+
+
+@query(P_TABLE + ", x AS (SELECT *, split_part(perpetrator, '|', 1) AS ps, split_part(consequence, '|', 1) AS cs FROM c) SELECT perpetrator, consequence FROM x WHERE ps IN ('s1', 's4') OR cs IN ('s1', 's4')")
+def included_services(spark, d):
+    return graphs.filter_edges(graphs.split_names(p_table(spark, d)), included=["s1_api", "s4"]).select("perpetrator", "consequence")
+
+
+ARCS = """WITH a AS (SELECT l_orderkey * 8 + l_linenumber AS line, 'p' || (l_partkey % 50) AS src, l_quantity::DOUBLE AS w, 's' || (l_suppkey % 40) AS dst FROM lineitem)"""
+
+
+def arc_lines(spark, d):
+    li = _t(spark, d, "lineitem")
+    value = F.concat(F.lit("p"), F.col("l_partkey") % 50, F.lit(" => "), F.col("l_quantity").cast("string"), F.lit(" =>  s"), F.col("l_suppkey") % 40, F.lit("\t"))
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), value.alias("value"))
+
+
+@query(ARCS + " SELECT src, dst, arg_min(w, (line, w)) AS w FROM a GROUP BY ALL")
+def first_arcs(spark, d):
+    return graphs.distinct_arcs(readers.parse_arcs(arc_lines(spark, d)))
+
+
+@query(ARCS + " SELECT node, min(seen) AS seen FROM (SELECT src AS node, line * 2 AS seen FROM a UNION ALL SELECT dst, line * 2 + 1 FROM a) GROUP BY node")
+def nodes_first_seen(spark, d):
+    return graphs.first_seen(readers.parse_arcs(arc_lines(spark, d)))
+
+
+@query("WITH m AS (SELECT max(greatest(l_partkey, l_suppkey)) AS m FROM lineitem) SELECT unnest(range(0, m + 1))::VARCHAR AS node FROM m")
+def numbered_nodes(spark, d):
+    li = _t(spark, d, "lineitem")
+    return graphs.numeric_nodes(li.select(F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst")))
+
+
+NAMED = "CASE n_regionkey WHEN 0 THEN 'nova_' WHEN 1 THEN 'neutron_' WHEN 2 THEN 'glance_' ELSE 'keystone_' END || n_nationkey"
+
+
+@query(f"""WITH s AS (SELECT {NAMED} AS service, n_nationkey AS k FROM nation UNION ALL SELECT 'rabbitmq', NULL), e AS (SELECT DISTINCT a.service AS src, b.service AS dst FROM customer JOIN s a ON a.k = c_nationkey JOIN s b ON b.k = c_custkey % 25),
+p AS (SELECT src, dst FROM e WHERE src <> dst UNION ALL SELECT service, 'rabbitmq' FROM s WHERE split_part(service, '_', 1) IN ('nova', 'neutron', 'glance')) SELECT DISTINCT least(src, dst) AS svc_x, greatest(src, dst) AS svc_y FROM p""")
+def queue_pairs(spark, d):
+    n = F.col("n_regionkey")
+    known = _t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.when(n == 0, "nova_").when(n == 1, "neutron_").when(n == 2, "glance_").otherwise("keystone_"), "n_nationkey").alias("service"))
+    calls = _t(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("i"), (F.col("c_custkey") % 25).cast("long").alias("j")).distinct()
+    calls = calls.join(known.select(F.col("k").alias("i"), F.col("service").alias("src")), "i").join(known.select(F.col("k").alias("j"), F.col("service").alias("dst")), "j")
+    services = known.select("service").union(spark.range(1).select(F.lit(graphs.QUEUE)))
+    return graphs.call_pairs(calls.select("src", "dst"), services, queue=graphs.QUEUE)
+
+
+@query("SELECT DISTINCT '\"' || 'n' || c_nationkey || '\" -> \"m' || c_mktsegment || '\"' AS value FROM customer")
+def callgraph_dot(spark, d):
+    e = _t(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("m"), "c_mktsegment").alias("dst")).distinct()
+    return writers.dot_lines(e)
+
+
+@query("""WITH g AS (SELECT s_nationkey, 'disk' AS resource, s_suppkey * 1.5 AS total, (s_suppkey % 7)::DOUBLE AS used FROM supplier UNION ALL SELECT s_nationkey, 'memory', s_suppkey * 0.5, (s_suppkey % 5)::DOUBLE FROM supplier)
+SELECT s_nationkey, resource, sum(total)::DOUBLE AS total, sum(used) AS used, (sum(total) - sum(used))::DOUBLE AS free FROM g GROUP BY ALL""")
+def hypervisor_gauges(spark, d):
+    k = F.col("s_suppkey")
+    hosts = _t(spark, d, "supplier").select("s_nationkey", k.alias("total_disk"), k.alias("total_memory"), (k % 7).alias("used_disk"), (k % 5).alias("used_memory"))
+    return monitoring.hypervisor_gauges(hosts, "s_nationkey", {"disk": 1.5, "memory": 0.5})
+
+
+@query("""SELECT s_suppkey, 'status okay' || chr(10) || 'metric heat_api_local_status uint32 ' || (s_acctbal >= 0)::INT || CASE WHEN s_acctbal >= 0 THEN chr(10) || 'metric heat_api_local_response_time double ' || (s_suppkey % 1000) || '.000 ms' ELSE '' END AS lines FROM supplier""")
+def endpoint_checks(spark, d):
+    lines = monitoring.endpoint_lines(F.lit("heat_api_local"), F.col("s_acctbal") >= 0, (F.col("s_suppkey") % 1000) / 1000)
+    return _t(spark, d, "supplier").select("s_suppkey", F.array_join(lines, "\n").alias("lines"))
+
+
+@query(CL + """, n AS (SELECT version, service, count(*) AS kept, count(*) + 2 AS raw FROM x GROUP BY ALL) SELECT service, '| ' || service || ' | ' || string_agg(version || ': ' || kept || ' of ' || raw, ', ' ORDER BY version) || ' |' AS value FROM n GROUP BY service""")
+def grouped_report(spark, d):
+    c = clusters(spark, d).groupBy(F.col("version").alias("measurement_name"), "service").agg(F.sum(F.size("metrics")).alias("kept_metrics"))
+    return writers.grouped_report(c.withColumn("raw_metrics", F.col("kept_metrics") + 2))
+
+
+@query(CL + """, p AS (SELECT service, cluster, '* ' || cluster || ': ' || list_aggregate(metrics, 'string_agg', ', ') AS line FROM cl WHERE version = 'f') SELECT service, 4::INT AS k, '## ' || service || ', k = 4' || chr(10) || string_agg(line, chr(10) ORDER BY cluster) AS value FROM p GROUP BY service""")
+def cluster_pages(spark, d):
+    c = clusters(spark, d).where("version = 'f'").select("service", F.lit(4).alias("k"), F.explode("metrics").alias("metric"), "cluster")
+    return writers.cluster_pages(c)
+
+
+@query("SELECT n_nationkey || ' & ' || n_name || ' ' || chr(92) || chr(92) AS value FROM nation")
+def latex_rows(spark, d):
+    return writers.latex_rows(_t(spark, d, "nation").select("n_nationkey", "n_name"))
+
+
+@query("WITH b AS (SELECT o_orderpriority AS regression, round((o_orderkey % 97) / 97.0 / 0.05) AS bin, count(*) AS n FROM orders GROUP BY ALL) SELECT regression, bin::INT AS bin, least(n, 10) AS n FROM b")
+def sampled_bins(spark, d):
+    tests = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("regression"), ((F.col("o_orderkey") % 97) / 97).alias("p_value"), F.lit("orders").alias("service"), F.col("o_orderkey").cast("string").alias("metric"))
+    return diagnostics.sampled_per_bin(tests).groupBy("regression", F.round(F.col("bin") * 20).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS service, ts, 0::INT AS source, value FROM events UNION ALL SELECT 'orders', o_orderdate::TIMESTAMP, 1, o_totalprice::DOUBLE FROM orders")
+def merged_by_time(spark, d):
+    e = _t(spark, d, "events").select(F.col("event_type").alias("service"), F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+    o = _t(spark, d, "orders").select(F.lit("orders").alias("service"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_totalprice").cast("double").alias("value"))
+    return series.merged(e, o)
+
+
+@query(f"""WITH {SCORES}, p AS (SELECT service, arg_max(k, (silhouette, -k)) AS pk FROM s GROUP BY service HAVING service <> 'MACHINERY'), m AS (SELECT DISTINCT c_mktsegment AS service, 'm' || c_nationkey AS metric FROM customer)
+SELECT service, metric FROM m LEFT JOIN p USING (service) WHERE pk IS NULL OR metric = 'm' || pk""")
+def reduced_frame(spark, d):
+    scores = segment_scores(spark, d)
+    preferred = distance.preferred_k(scores, ["service"]).where("service <> 'MACHINERY'")
+    reps = scores.select("service", "k", F.concat(F.lit("m"), "k").alias("representative"))
+    rows = _t(spark, d, "customer").select(F.col("c_mktsegment").alias("service"), F.concat(F.lit("m"), "c_nationkey").alias("metric")).distinct()
+    return distance.reduced(rows, reps, preferred).select("service", "metric")

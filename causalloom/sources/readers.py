@@ -18,6 +18,11 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def list_files(spark: SparkSession, folder: str, pattern: str = "*causality.tsv.gz") -> DataFrame:
+    """(path, length) of a folder's files whose names match; their contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+
+
 def read_wide_samples(spark: SparkSession, path: str, service: str, fields: list[str]) -> DataFrame:
     """A service's wide samples as long ones: CPU rows of single cores left out, NaN as null, only the fields asked for."""
     from causalloom.operators.series import null_or_total, wide_to_long

@@ -85,3 +85,18 @@ def metric_table(clusters: DataFrame, per_line: int = 3) -> DataFrame:
 
     short = F.transform(F.array_sort("metrics"), abbreviate)
     return clusters.select("service", "cluster", F.concat(abbreviate(F.col("representative")), F.lit(":\n"), lines_of(short, per_line)).alias("cell"))
+
+
+def grouped_report(inventories: DataFrame) -> DataFrame:
+    """(service, value): a line per service over all measurements of (measurement_name, service, raw_metrics, kept_metrics), in order of their names."""
+    cell = F.format_string("%s: %s of %s", "measurement_name", "kept_metrics", "raw_metrics")
+    rows = inventories.groupBy("service").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return rows.select("service", F.concat(F.lit("| "), F.col("service"), F.lit(" | "), F.array_join("cells", ", "), F.lit(" |")).alias("value"))
+
+
+def cluster_pages(assigned: DataFrame) -> DataFrame:
+    """(service, k, value): a page per clustering of (service, k, metric, cluster): a heading, then a line per cluster with its metrics in order."""
+    each = assigned.groupBy("service", "k", "cluster").agg(F.array_sort(F.collect_list("metric")).alias("metrics"))
+    line = F.struct("cluster", F.concat(F.lit("* "), F.col("cluster").cast("string"), F.lit(": "), F.array_join("metrics", ", ")).alias("line"))
+    pages = each.groupBy("service", "k").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return pages.select("service", "k", F.concat(F.format_string("## %s, k = %s\n", "service", "k"), F.array_join(F.col("lines.line"), "\n")).alias("value"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causalloom.functions import names
-from causalloom.operators import causality, clustering, diagnostics, distance, graphs, series, versions
+from causalloom.operators import causality, clustering, diagnostics, distance, graphs, monitoring, series, versions
 from causalloom.sources import readers, writers
 
 
@@ -286,3 +286,55 @@ def test_interpolation_takes_linear_time(spark):
 
     seconds(1000)
     assert seconds(40_000) < 2.5 * seconds(20_000) + 2
+
+
+def test_names_cut_to_a_number_of_clusters(spark):
+    names = spark.createDataFrame([(x,) for x in "abcde"], "name string")
+    pairs = spark.createDataFrame([("a", "b", 0.1), ("b", "c", 0.2), ("d", "e", 0.2), ("a", "c", 0.6), ("c", "d", 0.7), ("a", "e", 0.9)], "a string, b string, d double")
+
+    def groups(size):
+        got = {}
+        for r in clustering.name_clusters_to(pairs, names, size).collect():
+            got.setdefault(r.label, []).append(r.name)
+        return sorted("".join(sorted(x)) for x in got.values())
+
+    assert groups(5) == list("abcde")
+    assert groups(4) == ["ab", "c", "d", "e"]
+    assert groups(3) == groups(2) == ["abc", "de"]  # both pairs at 0.2 join at once
+    assert groups(1) == ["abcde"]
+    assert clustering.name_clusters_to(pairs.limit(0), names, 2).count() == 5
+    assert clustering.name_clusters_to(pairs, names.limit(0), 2).count() == 0
+
+
+def test_files_by_pattern(spark, tmp_path):
+    for name in ("a_causality.tsv.gz", "a.tsv.gz", "causality.tsv"):
+        (tmp_path / name).write_bytes(b"xyz")
+    got = readers.list_files(spark, str(tmp_path)).collect()
+    assert [(r.path.rpartition("/")[2], r.length) for r in got] == [("a_causality.tsv.gz", 3)]
+
+
+def test_merge_keeps_time_order_and_source_order_at_ties(spark):
+    a = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'2024-01-01 00:00:02.5', 'a1'), (TIMESTAMP_NTZ'2024-01-01 00:00:00', 'a0'), (NULL, 'none') AS t(ts, x)")
+    b = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'2024-01-01 00:00:02.4', 'b1'), (TIMESTAMP_NTZ'2024-01-01 00:00:00', 'b0') AS t(ts, x)")
+    assert [r.x for r in series.merged(a, b).collect()] == ["none", "a0", "b0", "b1", "a1"]
+    assert [r.x for r in series.merged(b, a).collect()] == ["none", "b0", "a0", "b1", "a1"]
+
+
+def test_endpoint_lines(spark):
+    rows = spark.createDataFrame([(1, True, 0.0123456), (2, False, 1.0), (3, None, None), (4, True, None)], "i int, up boolean, s double")
+    got = {r.i: r.x for r in rows.select("i", monitoring.endpoint_lines(F.lit("api"), F.col("up"), F.col("s")).alias("x")).collect()}
+    assert got[1] == ["status okay", "metric api_status uint32 1", "metric api_response_time double 12.346 ms"]
+    assert got[2] == got[3] == ["status okay", "metric api_status uint32 0"]
+    assert got[4] == ["status okay", "metric api_status uint32 1"]
+
+
+def test_gauges_take_nulls_for_nothing(spark):
+    hosts = spark.createDataFrame([("x", 2, 1), ("x", None, 3), ("y", 4, None)], "g string, total_cpu int, used_cpu int")
+    got = {r.g: (r.total, r.used, r.free) for r in monitoring.hypervisor_gauges(hosts, "g", {"cpu": 16.0}).collect()}
+    assert got == {"x": (32.0, 4.0, 28.0), "y": (64.0, None, 64.0)}
+
+
+def test_first_of_tied_arcs(spark):
+    arcs = spark.createDataFrame([(1, "a", 3.0, "b"), (1, "a", 2.0, "b"), (0, "c", 9.0, "a"), (2, "c", 1.0, "a")], "line long, src string, w double, dst string")
+    assert {(r.src, r.dst): r.w for r in graphs.distinct_arcs(arcs).collect()} == {("a", "b"): 2.0, ("c", "a"): 9.0}
+    assert [r.node for r in graphs.first_seen(arcs).orderBy("seen").collect()] == ["c", "a", "b"]

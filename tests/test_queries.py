@@ -36,7 +36,7 @@ def test_query(spark, db, sf_dir, name):
 
 def test_whole_vectors_roll(spark, sf_dir):
     sizes = {r.vec_id: len(r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
-    got = catalog.QUERIES["zero_pad_roll_whole"](spark, sf_dir).collect()
+    got = catalog.QUERIES["zero_pad_roll"](spark, sf_dir).collect()
     assert len(got) == 3 * len(sizes)
     for r in got:
         parts = r.rolled.split(",")
