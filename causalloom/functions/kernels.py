@@ -66,17 +66,89 @@ def sbd_to(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return 1 - np.divide(top, norm, out=np.zeros(m), where=norm > 0)
 
 
-def extract_shape(members: np.ndarray, centre: np.ndarray, unset: bool | None = None) -> np.ndarray:
-    """Centroid of the members: top eigenvector of their centred scatter after alignment to the centre.
+#: Longest series whose shifts are compared by matrix products; longer ones go through Fourier transforms.
+SHORT = 128
 
-    With m members of length n, the n x n problem has the same top vector as the m x m one
-    of the centred rows, mapped back; m is the cheaper side for short lists of long series.
+#: Rows and columns of one block of distances, and numbers of one stack of correlations: such as stay in the cache.
+TILE, STACK = (128, 256), 1 << 17
+
+
+def moved(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """shifted() of each row by its own number of places, less than its length."""
+    m, n = x.shape
+    wide = np.zeros((m, 3 * n))
+    wide[:, n : 2 * n] = x
+    return np.lib.stride_tricks.sliding_window_view(wide, n, axis=1)[np.arange(m), n - by]
+
+
+def correlations(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Cross-correlation of each centre with each row at shifts 1-n..n-1, not normalised: [centre, shift, row]."""
+    (m, n), k = rows.shape, len(centres)
+    if n <= SHORT:
+        wide = np.zeros((k, 3 * n - 2))
+        wide[:, n - 1 : 2 * n - 1] = centres
+        stack = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, n, axis=1)).reshape(-1, n)
+        return (stack @ rows.T).reshape(k, 2 * n - 1, m)
+    size = 1 << (2 * n - 1).bit_length()
+    cc = np.fft.irfft(np.fft.rfft(centres, size, axis=1)[:, None] * np.conj(np.fft.rfft(rows, size, axis=1)), size, axis=2)
+    return np.concatenate([cc[:, :, size - n + 1 :], cc[:, :, :n]], 2).transpose(0, 2, 1)
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: the nearest centre (least index on ties), the shift at which the row fits it, and the distance."""
+    (m, n), k = x.shape, len(centres)
+    label, by, distance = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m)
+    norms, step = np.linalg.norm(centres, axis=1)[:, None], max(1, STACK // (k * 2 * n))
+    for lo in range(0, m, step):
+        rows = x[lo : lo + step]
+        cc = correlations(rows, centres)
+        norm = norms * np.linalg.norm(rows, axis=1)
+        d = 1 - np.divide(cc.max(1), norm, out=np.zeros(norm.shape), where=norm > 0)
+        at = np.arange(len(rows))
+        best = d.argmin(0)
+        label[lo : lo + step], distance[lo : lo + step] = best, d[best, at]
+        by[lo : lo + step] = cc[best, :, at].argmax(1) - (n - 1)
+    return label, by, distance
+
+
+def tiles(x: np.ndarray, y: np.ndarray, lags: bool = False, upper: bool = False):
+    """(first row of x, first row of y, ncc, lag) block by block: the largest NCC of each row of x with each of y, and on demand the lag.
+
+    Of equal NCCs the first shift counts, as in ncc(). A norm of 0 gives 0. Series have one
+    length. upper: only blocks with a pair whose row of y has the larger index.
     """
-    members = np.asarray(members, float)
-    if not len(members):
-        return np.zeros_like(centre, dtype=float)
-    unset = not np.any(centre) if unset is None else unset
-    aligned = members if unset else np.array([sbd(centre, r)[1] for r in members])
+    n = x.shape[1]
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    norm_x, norm_y = np.linalg.norm(x, axis=1)[:, None], np.linalg.norm(y, axis=1)
+    if n > SHORT:
+        size = 1 << (2 * n - 1).bit_length()
+        fx = np.fft.rfft(x, size, axis=1)
+        height, width = 1, max(1, STACK // size)
+    else:
+        xt, yt = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+        height, width = TILE
+    for j in range(0, len(y), width):
+        fy = np.conj(np.fft.rfft(y[j : j + width], size, axis=1)) if n > SHORT else None
+        for i in range(0, min(len(x), j + width - 1) if upper else len(x), height):
+            shape = len(x[i : i + height]), len(y[j : j + width])
+            top, at = np.full(shape, -np.inf if n else 0.0), np.full(shape, 1 - n if n else 0, np.int32)
+            if n > SHORT:
+                cc = np.fft.irfft(fx[i] * fy, size, axis=1)
+                cc = np.concatenate([cc[:, size - n + 1 :], cc[:, :n]], 1)
+                top[0], at[0] = cc.max(1), cc.argmax(1) - (n - 1)
+            else:
+                d, more = np.empty(shape), np.empty(shape, bool)
+                for s in range(1 - n, n):
+                    np.matmul(xt[max(s, 0) : n + min(s, 0), i : i + height].T, yt[max(-s, 0) : n - max(s, 0), j : j + width], out=d)
+                    if lags:
+                        np.copyto(at, s, where=np.greater(d, top, out=more))
+                    np.maximum(top, d, out=top)
+                at[~np.isfinite(top)] = 1 - n
+            norm = norm_x[i : i + height] * norm_y[j : j + width]
+            yield i, j, np.divide(top, norm, out=np.zeros(shape), where=norm > 0), -at if lags else None
+
+
+def _shape(aligned: np.ndarray) -> np.ndarray:
     y = zscore(aligned, 1)
     b = y - y.mean(1, keepdims=True)
     if len(b) <= b.shape[1]:
@@ -89,17 +161,40 @@ def extract_shape(members: np.ndarray, centre: np.ndarray, unset: bool | None =
     return zscore(v, 1)
 
 
+def extract_shape(members: np.ndarray, centre: np.ndarray, unset: bool | None = None) -> np.ndarray:
+    """Centroid of the members: top eigenvector of their centred scatter after alignment to the centre.
+
+    With m members of length n, the n x n problem has the same top vector as the m x m one
+    of the centred rows, mapped back; m is the cheaper side for short lists of long series.
+    """
+    members = np.asarray(members, float)
+    if not len(members):
+        return np.zeros_like(centre, dtype=float)
+    unset = not np.any(centre) if unset is None else unset
+    return _shape(members if unset else moved(members, nearest(members, np.asarray(centre, float)[None])[1]))
+
+
 def kshape(x: np.ndarray, k: int, start: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Labels and centroids: refine all centroids, assign each row to its nearest (least index on ties), until stable."""
+    return kshape_fit(x, k, start, rounds)[:2]
+
+
+def kshape_fit(x: np.ndarray, k: int, start: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """kshape(), and each row's distance to its centroid.
+
+    A round's assignment also tells at which shift a row fits its centre, and so how the next
+    round aligns it.
+    """
     x, labels = np.asarray(x, float), np.asarray(start).copy()
-    centres = np.zeros((k, x.shape[1]))
+    centres, by, distance = np.zeros((k, x.shape[1])), np.zeros(len(x), np.int64), np.zeros(len(x))
     for _ in range(rounds):
-        before = labels
-        centres = np.array([extract_shape(x[labels == j], centres[j]) for j in range(k)])
-        labels = np.argmin(np.array([sbd_to(x, c) for c in centres]), axis=0)
+        before, unset = labels, ~centres.any(1)
+        aligned = moved(x, np.where(unset[labels], 0, by))
+        centres = np.array([_shape(aligned[labels == j]) if (labels == j).any() else np.zeros(x.shape[1]) for j in range(k)])
+        labels, by, distance = nearest(x, centres)
         if np.array_equal(before, labels):
             break
-    return labels, centres
+    return labels, centres, distance
 
 
 def silhouette(distance: np.ndarray, labels: np.ndarray) -> float:

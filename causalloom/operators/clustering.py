@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalloom.functions import kernels
+from causalloom.operators import distance
 from causalloom.operators.components import components
 
 SCHEMA = "service string, k int, metric string, cluster int, silhouette double, centroid array<double>"
@@ -29,6 +30,27 @@ def warm_start(series: DataFrame, previous: DataFrame) -> DataFrame:
     return labels.withColumn("k", k.cast("int"))
 
 
+def shapes(labelled: DataFrame, rounds: int = 100) -> DataFrame:
+    """(service, k, metric, cluster, centroid) of each (service, k): one task per pair holds the service's series only.
+
+    Series of a service have one length; shorter ones are padded with zeros. Services with
+    no more than k series are left out, as there is nothing to reduce.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("metric")
+        k, n = int(pdf["k"].iloc[0]), max(map(len, pdf["v"]))
+        x = kernels.zscore(np.array([np.pad(np.asarray(v, float), (0, n - len(v))) for v in pdf["v"]]))
+        if len(x) <= k:
+            return pd.DataFrame(columns=["service", "k", "metric", "cluster", "centroid"])
+        labels, centres = kernels.kshape(x, k, pdf["start"].to_numpy(), rounds)
+        lists = [c.tolist() for c in centres]
+        return pd.DataFrame({"service": pdf["service"].to_numpy(), "k": k, "metric": pdf["metric"].to_numpy(), "cluster": labels, "centroid": [lists[j] for j in labels]})
+
+    rows = labelled.select("service", "k", "metric", "v", "start").repartition(distance.tasks(labelled), "service", "k")
+    return rows.groupBy("service", "k").applyInPandas(run, "service string, k int, metric string, cluster int, centroid array<double>")
+
+
 def kshape(labelled: DataFrame, rounds: int = 100) -> DataFrame:
     """Clusters of each (service, k): one task per pair holds the service's series only.
 

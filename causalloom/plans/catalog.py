@@ -293,8 +293,12 @@ def preferred_k(spark, d):
     return distance.preferred_k(s, ["service"])
 
 
+def kshape_starts(spark, d):
+    return clustering.start_labels(short_series(spark, d), list(range(2, 7)))
+
+
 def kshaped(spark, d):
-    return clustering.kshape(clustering.start_labels(short_series(spark, d), list(range(2, 7))))
+    return clustering.kshape(kshape_starts(spark, d))
 
 
 @query()
@@ -304,7 +308,7 @@ def kshape_assign(spark, d):
 
 @query()
 def centroid_lag(spark, d):
-    rows = kshaped(spark, d).join(short_series(spark, d).select("service", "metric", "v"), ["service", "metric"])
+    rows = clustering.shapes(kshape_starts(spark, d)).join(short_series(spark, d).select("service", "metric", "v"), ["service", "metric"])
     return diagnostics.lag_to_centroid(rows).select("service", "k", "metric", "cluster", "lag", r("sbd"))
 
 
