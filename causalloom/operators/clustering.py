@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalloom.functions import kernels
+from causalloom.functions.runtime import materialize
 from causalloom.operators import distance
 from causalloom.operators.components import components
 
-SCHEMA = "service string, k int, metric string, cluster int, silhouette double, centroid array<double>"
-
 
 def start_labels(series: DataFrame, ks: list[int]) -> DataFrame:
     """(service, k, metric, v, start): starting labels from a hash of the name, the same on every run."""
@@ -52,26 +51,12 @@ def shapes(labelled: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def kshape(labelled: DataFrame, rounds: int = 100) -> DataFrame:
-    """Clusters of each (service, k): one task per pair holds the service's series only.
-
-    Series of a service have one length; shorter ones are padded with zeros. Services with
-    no more than k series are left out, as there is nothing to reduce.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("metric")
-        k, n = int(pdf["k"].iloc[0]), max(map(len, pdf["v"]))
-        x = kernels.zscore(np.array([np.pad(np.asarray(v, float), (0, n - len(v))) for v in pdf["v"]]))
-        if len(x) <= k:
-            return pd.DataFrame(columns=["service", "k", "metric", "cluster", "silhouette", "centroid"])
-        labels, centres = kernels.kshape(x, k, pdf["start"].to_numpy(), rounds)
-        distance = np.zeros((len(x), len(x)))
-        for i in range(len(x) - 1):
-            distance[i, i + 1 :] = kernels.sbd_to(x[i + 1 :], x[i])
-        score = kernels.silhouette(distance + distance.T, labels)
-        return pd.DataFrame({"service": pdf["service"].to_numpy(), "k": k, "metric": pdf["metric"].to_numpy(), "cluster": labels, "silhouette": score, "centroid": [centres[j].tolist() for j in labels]})
-
-    return labelled.select("service", "k", "metric", "v", "start").groupBy("service", "k").applyInPandas(run, SCHEMA)
+    """shapes() with the silhouette of each (service, k); distances between series are taken once for all k of a service, block by block."""
+    found = materialize(shapes(labelled, rounds), "shapes")
+    series = labelled.select("service", "metric", "v").dropDuplicates(["service", "metric"])
+    labels = found.select("service", F.col("k").alias("set"), F.col("metric").alias("key"), "cluster")
+    scores = distance.series_silhouette(series, labels, ["service"], ("set",), prepare=True).select("service", F.col("set").alias("k"), "silhouette")
+    return found.join(scores, ["service", "k"]).select("service", "k", "metric", "cluster", "silhouette", "centroid")
 
 
 def hand_over(current: DataFrame, previous: DataFrame) -> DataFrame:

@@ -297,13 +297,9 @@ def kshape_starts(spark, d):
     return clustering.start_labels(short_series(spark, d), list(range(2, 7)))
 
 
-def kshaped(spark, d):
-    return clustering.kshape(kshape_starts(spark, d))
-
-
 @query()
 def kshape_assign(spark, d):
-    return kshaped(spark, d).select("service", "k", "metric", "cluster", r("silhouette"))
+    return clustering.kshape(kshape_starts(spark, d)).select("service", "k", "metric", "cluster", r("silhouette"))
 
 
 @query()

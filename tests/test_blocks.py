@@ -4,10 +4,33 @@ import numpy as np
 import pytest
 
 from causalloom.functions import kernels as K
+from causalloom.operators import clustering, distance
 
 rng = np.random.default_rng(11)
 
 
+def test_tiles_take_the_first_of_equal_shifts():
+    x, y = rng.integers(-2, 3, (140, 7)).astype(float), rng.integers(-2, 3, (300, 7)).astype(float)
+    x[0], x[1, 2] = 0, np.nan
+    seen = 0
+    for i, j, top, lag in K.tiles(x, y, True):
+        seen += top.size
+        for p in range(0, len(top), 11):
+            for q in range(0, top.shape[1], 7):
+                c = np.correlate(x[i + p], y[j + q], "full")
+                norm = np.linalg.norm(x[i + p]) * np.linalg.norm(y[j + q])
+                want, at = (c.max() / norm, c.argmax()) if norm > 0 else (0, 0)
+                assert abs(top[p, q] - want) < 1e-12 and lag[p, q] == 6 - at
+    assert seen == 140 * 300
+
+
+def test_tiles_of_long_series():
+    x = rng.standard_normal((5, K.SHORT + 30))
+    got = {(i + p, j + q): (top[p, q], lag[p, q]) for i, j, top, lag in K.tiles(x, x, True) for p in range(len(top)) for q in range(top.shape[1])}
+    assert len(got) == 25
+    assert all(abs(d - K.ncc(x[p], x[q]).max()) < 1e-9 and at == K.lag(x[p], x[q]) for (p, q), (d, at) in got.items())
+
+
 @pytest.mark.parametrize("n", [24, K.SHORT + 12])
 def test_kshape_makes_no_call_for_each_row(monkeypatch, n):
     x = K.zscore(rng.standard_normal((90, n)).cumsum(1))
@@ -28,3 +51,18 @@ def test_kshape_makes_no_call_for_each_row(monkeypatch, n):
     got, shapes, apart = K.kshape_fit(x, 4, start)
     assert (got == labels).all() and np.allclose(shapes, centres)
     assert np.allclose(apart, [K.sbd_to(x[i : i + 1], shapes[j])[0] for i, j in enumerate(got)])
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_kshape_silhouette_of_padded_series(spark, monkeypatch, block):
+    monkeypatch.setattr(distance, "BLOCK", block)
+    data = [("s", f"m{i:02d}", rng.standard_normal(12 - i % 2).tolist()) for i in range(30)]
+    df = spark.createDataFrame(data, "service string, metric string, v array<double>")
+    x = K.zscore(np.array([np.pad(v, (0, 12 - len(v))) for _, _, v in data]))
+    apart = np.array([K.sbd_to(x, r) for r in x])
+    np.fill_diagonal(apart, 0)
+    got = clustering.kshape(clustering.start_labels(df, [2, 3])).toPandas()
+    for _, part in got.groupby("k"):
+        part = part.sort_values("metric")
+        assert len(part) == 30 and part["silhouette"].nunique() == 1
+        assert abs(part["silhouette"].iloc[0] - K.silhouette(apart, part["cluster"].to_numpy())) < 1e-9
