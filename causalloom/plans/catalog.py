@@ -271,7 +271,7 @@ SELECT n.service, n, k, round(CASE WHEN k < 2 OR k >= n THEN -1 ELSE (SELECT avg
 @query(SIL)
 def silhouette(spark, d):
     labels = short_series(spark, d).select("service", F.col("metric").alias("key"), F.col("part").alias("cluster"))
-    return distance.silhouette(measured_pairs(spark, d), labels, ["service"]).select("service", "n", "k", r("silhouette"))
+    return distance.series_silhouette(short_series(spark, d), labels, ["service"]).select("service", "n", "k", r("silhouette"))
 
 
 REP = VEC + """, g AS (SELECT service, metric, part AS cluster, v FROM v), cen AS (SELECT service, cluster, list(m ORDER BY i) AS c FROM (SELECT service, cluster, i, avg(v[i]) AS m FROM (SELECT *, unnest(range(1, 65)) AS i FROM g) GROUP BY ALL) GROUP BY ALL),

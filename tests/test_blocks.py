@@ -5,10 +5,27 @@ import pytest
 
 from causalloom.functions import kernels as K
 from causalloom.operators import clustering, distance
+from causalloom.plans import catalog
 
 rng = np.random.default_rng(11)
 
 
+def rows_of(count, n, service="s"):
+    x = rng.integers(-2, 3, (count, n)).astype(float)  # small integers: many equal correlations
+    x[1], x[count // 2] = 0, x[2]
+    return [(service, f"m{(i * 37) % 101:03d}", x[i].tolist()) for i in range(count)]
+
+
+@pytest.fixture(scope="module")
+def series(spark):
+    data = rows_of(40, 6) + rows_of(9, 5, "t") + [("u", "alone", [1.0, 2.0, 3.0])]
+    return data, spark.createDataFrame(data, "service string, metric string, v array<double>")
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_tiles_take_the_first_of_equal_shifts():
     x, y = rng.integers(-2, 3, (140, 7)).astype(float), rng.integers(-2, 3, (300, 7)).astype(float)
     x[0], x[1, 2] = 0, np.nan
@@ -53,6 +70,25 @@ def test_kshape_makes_no_call_for_each_row(monkeypatch, n):
     assert np.allclose(apart, [K.sbd_to(x[i : i + 1], shapes[j])[0] for i, j in enumerate(got)])
 
 
+def test_silhouette_joins_no_pairs(spark, sf_dir):
+    assert "MapInArrow" not in plan(catalog.QUERIES["silhouette"](spark, sf_dir)).replace("FlatMapGroupsInArrow", "")
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_series_silhouette_is_that_of_the_pairs(spark, series, monkeypatch, block):
+    monkeypatch.setattr(distance, "BLOCK", block)
+    data, df = series
+    marks = [(s, k, m, None if m == "m037" and k == 3 else int(m[1:]) % k if m != "alone" else 0) for s, m, _ in data for k in (1, 2, 3, 60)]
+    labels = spark.createDataFrame(marks, "service string, set int, key string, cluster int")
+    got = {(r.service, r.set): r for r in distance.series_silhouette(df, labels, ["service"], ("set",)).collect()}
+    pairs = distance.pair_distances(df, ["service"])
+    for k in (1, 2, 3, 60):
+        for r in distance.silhouette(pairs, labels.where(f"set = {k}"), ["service"]).collect():
+            g = got.pop((r.service, k))
+            assert (g.n, g.k) == (r.n, r.k) and abs(g.silhouette - r.silhouette) < 1e-9
+    assert not got
+
+
 @pytest.mark.parametrize("block", [7, 1024])
 def test_kshape_silhouette_of_padded_series(spark, monkeypatch, block):
     monkeypatch.setattr(distance, "BLOCK", block)
