@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -99,23 +101,36 @@ def name_clusters_to(pairs: DataFrame, names: DataFrame, size: int) -> DataFrame
 
 
 def gap_statistic(series: DataFrame, ks: list[int], references: int = 20, seed: int = 7) -> DataFrame:
-    """Per service and k: log of the mean dispersion of uniform reference sets, less the log of the data's own."""
+    """Per service and k: log of the mean dispersion of uniform reference sets, less the log of the data's own.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = kernels.zscore(np.array([np.asarray(v, float) for v in pdf.sort_values("metric")["v"]]))
-        rng = np.random.default_rng(seed)
-        out = []
-        for k in ks:
-            if len(x) <= k:
-                continue
-
-            def spread(rows: np.ndarray, k: int = k) -> float:
-                labels, centres = kernels.kshape(rows, k, np.arange(len(rows)) % k, 20)
-                return float(sum(kernels.sbd_to(rows[labels == j], centres[j]).sum() for j in range(k) if (labels == j).any()))
-
-            low, high = x.min(0), x.max(0)
-            refs = [spread(kernels.zscore(rng.uniform(low, high, x.shape))) for _ in range(references)]
-            out.append((pdf["service"].iloc[0], k, float(np.log(np.mean(refs)) - np.log(max(spread(x), 1e-12)))))
-        return pd.DataFrame(out, columns=["service", "k", "gap"])
-
-    return series.select("service", "metric", "v").groupBy("service").applyInPandas(run, "service string, k int, gap double")
+    A reference set needs only the least and largest value at each place, so each is a task of
+    its own; it begins where the sets before it leave the service's sequence of random numbers.
+    """
+
+    def spread(rows: np.ndarray, k: int) -> float:
+        return float(kernels.kshape_fit(rows, k, np.arange(len(rows)) % k, 20)[2].sum())
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, k = pdf.sort_values("metric"), int(pdf["k"].iloc[0])
+        x = kernels.zscore(np.array([np.asarray(v, float) for v in pdf["v"]]))
+        if len(x) <= k:
+            return pd.DataFrame(columns=["service", "k", "own", "n", "low", "high"])
+        return pd.DataFrame({"service": pdf["service"].iloc[:1].to_numpy(), "k": k, "own": spread(x, k), "n": len(x), "low": [x.min(0)], "high": [x.max(0)]})
+
+    def reference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for service, k, mine, n, low, high, r in pdf.itertuples(index=False):
+                shape = (n, len(low))
+                before = sum(n > other for other in ks[: ks.index(k)]) * references + r
+                random = np.random.Generator(np.random.PCG64(seed).advance(before * n * len(low)))
+                out.append((service, k, mine, spread(kernels.zscore(random.uniform(low, high, shape)), k)))
+            yield pd.DataFrame(out, columns=["service", "k", "own", "spread"])
+
+    tasks = distance.tasks(series)
+    many = series.select("service", "metric", "v", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).repartition(tasks, "service", "k")
+    data = many.groupBy("service", "k").applyInPandas(own, "service string, k int, own double, n long, low array<double>, high array<double>")
+    sets = data.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(references - 1)))).repartition(tasks)
+    found = sets.mapInPandas(reference, "service string, k int, own double, spread double")
+    mean = F.log(F.avg("spread")) - F.log(F.greatest(F.max("own"), F.lit(1e-12)))
+    return found.groupBy("service", "k").agg(mean.alias("gap"))

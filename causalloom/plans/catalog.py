@@ -242,8 +242,8 @@ def short_series(spark, d):
     return e.select(F.concat(F.lit("s"), "label").alias("service"), F.concat(F.lit("v"), "vec_id").alias("metric"), F.col("embedding").cast("array<double>").alias("v"), (F.col("vec_id") % 3).cast("int").alias("part"))
 
 
-def measured_pairs(spark, d):
-    return distance.with_sbd_long(distance.pairs_within(short_series(spark, d), ["service"]))
+def measured_pairs(spark, d, column):
+    return distance.pair_distances(short_series(spark, d), ["service"], columns=(column,))
 
 
 @query(PAIRS + " SELECT service, a, b, round(ncc, 6) + 0.0 AS ncc FROM d")

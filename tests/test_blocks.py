@@ -102,3 +102,24 @@ def test_kshape_silhouette_of_padded_series(spark, monkeypatch, block):
         part = part.sort_values("metric")
         assert len(part) == 30 and part["silhouette"].nunique() == 1
         assert abs(part["silhouette"].iloc[0] - K.silhouette(apart, part["cluster"].to_numpy())) < 1e-9
+
+
+def test_gap_statistic_draws_one_sequence_in_separate_tasks(spark):
+    data = [("s", f"m{i:02d}", rng.standard_normal(10).tolist()) for i in range(12)] + [("t", f"m{i}", rng.standard_normal(10).tolist()) for i in range(3)]
+    df = spark.createDataFrame(data, "service string, metric string, v array<double>")
+    out = clustering.gap_statistic(df, [5, 2, 3], references=4)
+    assert "MapInPandas" in plan(out).replace("FlatMapGroupsInPandas", "")
+    got = {(r.service, r.k): r.gap for r in out.collect()}
+    want = {}
+    for s in ("s", "t"):
+        x, random = K.zscore(np.array([v for t, _, v in data if t == s])), np.random.default_rng(7)
+
+        def spread(rows, k):
+            labels, centres = K.kshape(rows, k, np.arange(len(rows)) % k, 20)
+            return sum(K.sbd_to(rows[labels == j], centres[j]).sum() for j in range(k) if (labels == j).any())
+
+        for k in (5, 2, 3):
+            if len(x) > k:
+                refs = [spread(K.zscore(random.uniform(x.min(0), x.max(0), x.shape)), k) for _ in range(4)]
+                want[s, k] = np.log(np.mean(refs)) - np.log(max(spread(x, k), 1e-12))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
