@@ -258,7 +258,7 @@ def sbd_pairs(spark, d):
 
 @query(PAIRS + " SELECT service, a, b, lag FROM d")
 def sbd_lag(spark, d):
-    return measured_pairs(spark, d).select("service", "a", "b", "lag")
+    return measured_pairs(spark, d, "lag").select("service", "a", "b", "lag")
 
 
 SIL = PAIRS + """, l AS (SELECT service, metric AS key, part AS cluster FROM v), m AS (SELECT service, a AS key, b AS other, sbd FROM d UNION ALL SELECT service, b, a, sbd FROM d),

@@ -70,6 +70,32 @@ def test_kshape_makes_no_call_for_each_row(monkeypatch, n):
     assert np.allclose(apart, [K.sbd_to(x[i : i + 1], shapes[j])[0] for i, j in enumerate(got)])
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_pair_distances_are_those_of_pairs(series, monkeypatch, block):
+    monkeypatch.setattr(distance, "BLOCK", block)
+    data, df = series
+    got = {(r.service, r.a, r.b): r for r in distance.pair_distances(df, ["service"]).collect()}
+    want = {(r.service, r.a, r.b): r for r in distance.with_sbd(distance.pairs_within(df, ["service"])).collect()}
+    assert got.keys() == want.keys() and len(got) == 40 * 39 // 2 + 9 * 8 // 2
+    value = {(s, m): np.array(v) for s, m, v in data}
+    for key, r in got.items():
+        x, y = value[key[0], key[1]], value[key[0], key[2]]
+        assert abs(r.ncc - want[key].ncc) < 1e-12 and abs(r.sbd - want[key].sbd) < 1e-12
+        assert r.lag == len(x) - 1 - (np.correlate(x, y, "full").argmax() if x.any() and y.any() else 0)
+
+
+def test_pair_distances_need_one_length(spark):
+    df = spark.createDataFrame([("s", "a", [1.0, 2.0]), ("s", "b", [1.0])], "service string, metric string, v array<double>")
+    with pytest.raises(Exception, match="one length"):
+        distance.pair_distances(df, ["service"]).collect()
+
+
+@pytest.mark.parametrize("name", ["sbd_lag"])
+def test_no_pair_carries_its_series(spark, sf_dir, name):
+    text = plan(catalog.QUERIES[name](spark, sf_dir))
+    assert "Join" not in text and "FlatMapGroupsInArrow" in text
+
+
 def test_silhouette_joins_no_pairs(spark, sf_dir):
     assert "MapInArrow" not in plan(catalog.QUERIES["silhouette"](spark, sf_dir)).replace("FlatMapGroupsInArrow", "")
 
