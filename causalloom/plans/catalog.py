@@ -248,7 +248,7 @@ def measured_pairs(spark, d, column):
 
 @query(PAIRS + " SELECT service, a, b, round(ncc, 6) + 0.0 AS ncc FROM d")
 def ncc_max(spark, d):
-    return measured_pairs(spark, d).select("service", "a", "b", r("ncc"))
+    return measured_pairs(spark, d, "ncc").select("service", "a", "b", r("ncc"))
 
 
 @query(PAIRS + " SELECT service, a, b, round(sbd, 6) + 0.0 AS sbd FROM d")
