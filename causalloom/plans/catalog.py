@@ -253,7 +253,7 @@ def ncc_max(spark, d):
 
 @query(PAIRS + " SELECT service, a, b, round(sbd, 6) + 0.0 AS sbd FROM d")
 def sbd_pairs(spark, d):
-    return measured_pairs(spark, d).select("service", "a", "b", r("sbd"))
+    return measured_pairs(spark, d, "sbd").select("service", "a", "b", r("sbd"))
 
 
 @query(PAIRS + " SELECT service, a, b, lag FROM d")

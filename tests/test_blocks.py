@@ -90,7 +90,7 @@ def test_pair_distances_need_one_length(spark):
         distance.pair_distances(df, ["service"]).collect()
 
 
-@pytest.mark.parametrize("name", ["ncc_max", "sbd_lag"])
+@pytest.mark.parametrize("name", ["ncc_max", "sbd_pairs", "sbd_lag"])
 def test_no_pair_carries_its_series(spark, sf_dir, name):
     text = plan(catalog.QUERIES[name](spark, sf_dir))
     assert "Join" not in text and "FlatMapGroupsInArrow" in text
