@@ -13,6 +13,8 @@ U64 = np.uint64
 #: Odd multipliers of a 64-bit finaliser.
 M1, M2, M3 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 150_000
+#: Shingles that a set and a block have in common, counted at a time.
+MEETINGS = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -176,16 +178,21 @@ class Block:
         h = np.concatenate([x for x, _ in sets])
         order = np.argsort(h, kind="stable")
         self.h, self.n = h[order], len(sets)
-        self.owner = np.repeat(np.arange(self.n), [len(x) for x, _ in sets])[order]
-        self.w = np.concatenate([w for _, w in sets]).astype(np.float64)[order]
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x, _ in sets])[order]
+        self.w = np.concatenate([w for _, w in sets])[order]
         self.total = np.bincount(self.owner, self.w, minlength=self.n)
 
     def similarities(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """weighted_jaccard() of (h, w) with every set of the block."""
+        """weighted_jaccard() of (h, w) with every set of the block. Common shingles are met MEETINGS at a time: long near copies share millions."""
         lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
         times = hi - lo
-        at = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
-        owner = self.owner[at]
-        low = np.bincount(owner, np.minimum(self.w[at], np.repeat(w.astype(np.float64), times)), minlength=self.n)
+        ends, low, first = np.cumsum(times), np.zeros(self.n), 0
+        while first < len(h):
+            before = ends[first] - times[first]
+            last = max(first + 1, int(np.searchsorted(ends, before + MEETINGS, "right")))
+            some = times[first:last]
+            at = np.repeat(lo[first:last] - ends[first:last] + some + before, some) + np.arange(some.sum())
+            low += np.bincount(self.owner[at], np.minimum(self.w[at], np.repeat(w[first:last], some)), minlength=self.n)
+            first = last
         both = self.total + float(w.astype(np.float64).sum())
         return np.divide(low, both - low, out=np.ones(self.n), where=both > low)

@@ -453,6 +453,27 @@ def test_shingle_counts_are_exact_in_any_partitions(spark):
     assert 7 / 3007 in [p for _, p in seen[0]] and frequent_shingles(_sets(d.limit(0)), 0)[0].size == 0
 
 
+def test_long_near_copies_are_compared_in_bounded_memory():
+    import tracemalloc
+
+    from causalloom.llm.shingles import Block, weighted_jaccard
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(1 << 32, size=5000, dtype=np.uint32)
+    sets = []
+    for k in range(200):
+        h = np.unique(np.append(base[rng.random(5000) > 0.1], np.arange(k, k + 300, dtype=np.uint32)))
+        sets.append((h, rng.choice([0.5, 0.75, 1.0, 3.0], len(h)).astype(np.float32)))
+    block = Block(sets)
+    tracemalloc.start()
+    got = block.similarities(*sets[7])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [weighted_jaccard(sets[7], x) for x in sets]
+    assert np.array_equal(block.similarities(np.empty(0, np.uint32), np.empty(0, np.float32)), np.zeros(200))
+    assert peak < 24e6, peak  # some 800,000 common shingles
+
+
 def test_near_duplicates_ignore_partitions_and_bear_hot_groups(spark):
     from causalloom.llm.near_dedup import near_duplicates
 
